@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
@@ -39,6 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
         return where.rstrip("/")
     if not conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="chronolex-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    return _local_dir()
+
+
+@functools.lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="chronolex-")
