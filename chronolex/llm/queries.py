@@ -5,14 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronolex.llm import bpe, packing, splitting
+from chronolex.llm import bpe, near_duplicates, packing, repeated_lines, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar_pairs(_table(spark, sf_dir, "documents"), width=3, min_percent=70)
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar_groups(_table(spark, sf_dir, "documents"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.find_repeated_lines(_table(spark, sf_dir, "documents"))
+
+
+def p5_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_lines.frequent_sequences(_table(spark, sf_dir, "documents"))
+    return found.withColumn("lines", F.array_join("lines", " / "))
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.remove_repeated_lines(_table(spark, sf_dir, "documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -33,8 +55,45 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_packed, p8_pieces)}
+    return {f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_sequences, p5_clean, p6_ids, p7_packed, p8_pieces)}
+
+
+_FORMS = """
+forms AS (
+  SELECT doc_id, source, i - 1 AS line_no,
+    trim(regexp_replace(regexp_replace(lower(l[i]), '[ \t]+', ' ', 'g'), '[0-9]+', '0', 'g'), '-–—*•|·>»:.,; ') AS form
+  FROM (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i
+        FROM (SELECT doc_id, source, string_split(normalized_text, chr(10)) AS l FROM documents WHERE source IS NOT NULL))
+), frequent AS (
+  SELECT source, form, count(DISTINCT doc_id) AS docs FROM forms WHERE form <> ''
+  GROUP BY source, form
+  HAVING docs >= 5 AND docs * 100 >= 5 * (SELECT count(*) FROM documents d WHERE d.source = forms.source)
+)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(normalized_text), '[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+'), lambda x: x <> '') AS t
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS run
+  FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM w WHERE len(t) >= 3)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_a, doc_b FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c * 100 >= 70 * (x.n + y.n - c)
+""",
+        "p5_found": f"""
+WITH {_FORMS}
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM forms JOIN frequent USING (source, form)
+""",
+        "p5_clean": f"""
+WITH {_FORMS}, gone AS (SELECT doc_id, list(line_no) AS gone FROM forms JOIN frequent USING (source, form) GROUP BY doc_id)
+SELECT doc_id,
+  CASE WHEN gone IS NULL THEN normalized_text ELSE
+    array_to_string(list_filter(string_split(normalized_text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text,
+  CAST(coalesce(len(gone), 0) AS INTEGER) AS removed
+FROM documents LEFT JOIN gone USING (doc_id)
+""",
+    }
