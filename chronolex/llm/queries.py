@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import bpe, names, near_duplicates, packing, repeated_lines, splitting
+from chronolex.llm import bpe, names, near_duplicates, packing, repeated_lines, splitting, turns
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(_table(spark, sf_dir, "document_segments"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.link_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "speakers"))
 
@@ -59,7 +63,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_groups, p5_found, p5_sequences, p5_clean, p6_ids, p7_packed, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found, p5_sequences, p5_clean, p6_ids, p7_packed, p8_pieces)}
 
 
 _FORMS = """
