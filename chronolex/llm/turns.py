@@ -51,9 +51,9 @@ _LABEL = re.compile(
     rf"|\*\*(?P<b>[^*\n]{{1,80}}?):?\*\*:?"
     rf"|\[(?P<k>[^\[\]\n\d]{{1,60}})\]:?"
     rf"|>>\s*(?P<g>[^:\n]{{1,60}}):"
-    rf"|(?P<p>{_TOKEN}(?: {_TOKEN}){{0,4}}) \([^()\n\d]{{1,30}}\):"
-    rf"|(?P<n>{_TOKEN}(?:,? (?:of|{_TOKEN})){{0,5}}) ?(?P<e>[:.—])(?=\s|$)"
-    rf"|(?P<q>Q|QUESTION|Question|A|ANSWER|Answer)\.(?=\s)"
+    rf"|(?<![\w'’-])(?P<p>{_TOKEN}(?: {_TOKEN}){{0,4}}) \([^()\n\d]{{1,30}}\):"
+    rf"|(?<![\w'’-])(?P<n>{_TOKEN}(?:,? (?:of|{_TOKEN})){{0,5}}) ?(?P<e>[:.—])(?=\s|$)"
+    rf"|(?<![\w'’-])(?P<q>Q|QUESTION|Question|A|ANSWER|Answer)\.(?=\s)"
 )
 _ASKS = {"q", "question", "questioner", "audience", "audience member", "unidentified questioner"}
 _ANSWERS = {"a", "answer"}
