@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolex.llm import bpe, names, near_duplicates, packing, repeated_lines, splitting, turns
+from chronolex.llm import boilerplate, bpe, names, near_duplicates, packing, repeated_lines, splitting, turns
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.link_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "speakers"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.find_boilerplate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "source_documents"))
+
+
+def p3_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return boilerplate.main_body(documents, boilerplate.find_boilerplate(documents, _table(spark, sf_dir, "source_documents")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.similar_pairs(_table(spark, sf_dir, "documents"), width=3, min_percent=70)
 
@@ -63,7 +72,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found, p5_sequences, p5_clean, p6_ids, p7_packed, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_body, p4_found, p4_groups, p5_found, p5_sequences, p5_clean, p6_ids, p7_packed, p8_pieces)}
 
 
 _FORMS = """
