@@ -58,7 +58,7 @@ def frequent_forms(df: DataFrame, source_col: str = "source", text_col: str = "n
     """First level: ``src, h1, h2, docs`` of the forms frequent in their source."""
     forms = (
         df.filter(F.col(source_col).isNotNull())
-        .select(F.col(source_col).alias("src"), F.explode(F.array_distinct(line_forms(F.col(text_col)))).alias("form"))
+        .select(F.col(source_col).alias("src"), F.explode_outer(F.array_distinct(line_forms(F.col(text_col)))).alias("form"))
         .filter("form <> ''")
         .select("src", *_hashes(F.col("form")))
     )
@@ -79,7 +79,7 @@ def find_repeated_lines(
         kept = F.filter(F.transform("forms", lambda x, i: F.struct(i.alias("line_no"), x.alias("form"))), lambda x: x["form"] != "")
         lines = lines.select(id_col, "src", F.posexplode(kept).alias("seq", "l")).select(id_col, "src", "seq", "l.line_no", "l.form")
     else:
-        lines = lines.select(id_col, "src", F.posexplode("forms").alias("line_no", "form")).filter("form <> ''")
+        lines = lines.select(id_col, "src", F.posexplode_outer("forms").alias("line_no", "form")).filter("form <> ''")
     found = lines.select("*", *_hashes(F.col("form"))).join(frequent, ["src", "h1", "h2"], "inner" if with_form else "left_semi")
     return found if with_form else found.select(id_col, "line_no")
 
