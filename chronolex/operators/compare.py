@@ -99,10 +99,14 @@ def previous_documents(docs: DataFrame, within_days: int = HISTORY_DAYS) -> Data
     w = Window.partitionBy("speaker_name").orderBy("day").rangeBetween(-within_days, -1)
     dated = d.filter("day is not null").withColumn("base_doc_id", F.max(place).over(w)["doc_id"])
     undated = d.filter("day is null").select("doc_id", "speaker_name")
-    latest = d.groupBy("speaker_name").agg(F.max_by(F.struct("doc_id"), place).alias("m1"), F.slice(F.sort_array(F.collect_set(F.when(F.col("day").isNull(), F.col("doc_id"))), asc=False), 1, 2).alias("open"), F.max(F.when(F.col("day").isNotNull(), place)).alias("dated"))
-    # any dated document comes first; else the greatest other undated one
-    other = F.coalesce(F.col("dated.doc_id"), F.get(F.filter("open", lambda x: x != F.col("doc_id")), F.lit(0)))
-    undated = undated.join(latest, "speaker_name").select("doc_id", other.alias("base_doc_id"))
+    # any dated document comes first; else the greatest other undated one, so the two greatest are enough
+    newest = d.filter("day is not null").groupBy("speaker_name").agg(F.max(place)["doc_id"].alias("dated"))
+    by_id = Window.partitionBy("speaker_name").orderBy(F.desc("doc_id"))
+    two = undated.withColumn("n", F.row_number().over(by_id)).filter("n <= 2").groupBy("speaker_name")
+    two = two.agg(F.max(F.when(F.col("n") == 1, F.col("doc_id"))).alias("one"), F.max(F.when(F.col("n") == 2, F.col("doc_id"))).alias("two"))
+    undated = undated.join(newest, "speaker_name", "left").join(two, "speaker_name", "left")
+    other = F.coalesce("dated", F.when(F.col("one") != F.col("doc_id"), F.col("one")).otherwise(F.col("two")))
+    undated = undated.select("doc_id", other.alias("base_doc_id"))
     return dated.select("doc_id", "base_doc_id").unionByName(undated)
 
 
@@ -198,7 +202,8 @@ def window_summaries(docs: DataFrame, themes: DataFrame, window_days: int, label
     Counted by range frames per (speaker, theme) and (speaker, tone). Ties go to the theme or tone
     first seen in the window (latest document first), then to the ontology's order.
     """
-    d = _days(docs).filter("day is not null").select("doc_id", "speaker_name", "day", "created_at", "overall_tone")
+    toned = _days(docs).filter("day is not null").select("doc_id", "speaker_name", "day", "created_at", "overall_tone")
+    d = toned.drop("overall_tone")
 
     def counted(values: DataFrame, name: str) -> DataFrame:
         """Per document and value: how often it stood in the window, and its latest place there."""
@@ -211,7 +216,7 @@ def window_summaries(docs: DataFrame, themes: DataFrame, window_days: int, label
         return both.withColumn("times", F.sum("n").over(w)).withColumn("seen", F.max(place).over(w)).filter("ask is not null and times > 0")
 
     said = counted(d.join(themes.select("doc_id", "theme", "ordinal"), "doc_id"), "theme")
-    tones = counted(d.filter("overall_tone <> ''").withColumn("ordinal", F.lit(0)), "overall_tone")
+    tones = counted(toned.filter("overall_tone <> ''").withColumn("ordinal", F.lit(0)), "overall_tone")
     order = F.struct((-F.col("times")).alias("t"), F.struct((-F.col("seen.day")).alias("d")).alias("s"), "ordinal")
     top = said.groupBy(F.col("ask").alias("doc_id")).agg(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), "theme"))), 1, 3).alias("top"))
     tone = tones.groupBy(F.col("ask").alias("doc_id")).agg(F.min(F.struct((-F.col("times")).alias("t"), (-F.col("seen.day")).alias("d"), F.col("overall_tone").alias("tone"))).alias("m"))

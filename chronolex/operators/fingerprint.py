@@ -58,6 +58,11 @@ def evidence(matched: Column, text: Column) -> Column:
     return F.transform(F.slice(matched, 1, QUOTES), quote)
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that filters above it cannot make the planner compute twice."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def theme_assessments(documents: DataFrame, text_col: str = "normalized_text", keep: tuple[str, ...] = ("doc_id",), ontology: Ontology = DEFAULT) -> DataFrame:
     """One row per document and theme that is mentioned at least twice.
 
@@ -66,15 +71,19 @@ def theme_assessments(documents: DataFrame, text_col: str = "normalized_text", k
     """
     o = ontology
     table = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("theme"), texts(k).alias("keywords")) for i, (t, k) in enumerate(o.themes.items())])
-    base = documents.select(*keep, F.col(text_col).alias("_text")).withColumn("_low", F.lower("_text")).withColumn("_sents", sentences(F.col("_text")))
-    each = base.withColumn("_t", F.explode(table)).select(*keep, "_text", "_low", "_sents", "_t.*")
+    base = documents.select(*keep, F.col(text_col).alias("_text")).withColumn(
+        "_sents", F.transform(sentences(F.col("_text")), lambda s: F.struct(s.alias("said"), F.lower(s).alias("low")))
+    )
+    each = base.withColumn("_t", F.explode(table)).select(*keep, "_text", "_sents", "_t.*")
+    pairs = F.filter("_sents", lambda s: F.exists("keywords", lambda k: F.contains(s["low"], k)))
+    each = _once(each, "_pairs", pairs).filter(F.size("_pairs") > 0)
+    each = _once(each, "_joined", F.array_join("_pairs.low", " ")).withColumn("_matched", F.col("_pairs.said")).withColumn("matched", F.size("_pairs"))
+    # No keyword reaches over the end of a sentence, so all hits of the text lie in the matched sentences;
+    # each of these holds one, so two matched sentences are two hits: hits alone decide.
     occurrences = F.aggregate(
-        "keywords", F.lit(0), lambda n, k: n + F.floor((F.length("_low") - F.length(F.replace(F.col("_low"), k, F.lit("")))) / F.length(k)).cast("int")
+        "keywords", F.lit(0), lambda n, k: n + F.floor((F.length("_joined") - F.length(F.replace(F.col("_joined"), k, F.lit("")))) / F.length(k)).cast("int")
     )
-    # A matched sentence holds a keyword, so two matched sentences are two hits: hits alone decide.
-    each = each.withColumn("hits", occurrences).filter("hits >= 2")
-    each = each.withColumn("_matched", F.filter("_sents", lambda s: F.exists("keywords", lambda k: F.contains(F.lower(s), k))))
-    each = each.withColumn("_joined", F.lower(F.array_join("_matched", " "))).withColumn("matched", F.size("_matched"))
+    each = _once(each, "hits", occurrences).filter("hits >= 2")
     few = F.col("matched") < 3
     return (
         each.withColumn("key_hedges", hedges(F.col("_joined"), o))
