@@ -133,14 +133,14 @@ def n1_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def n2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages read by the element tree (text, title, speaker, date candidates)."""
-    pages = _t(spark, sf_dir, "source_documents").filter("content_type = 'html'")
+    pages = spread(_t(spark, sf_dir, "source_documents").filter("content_type = 'html'"), "id")
     return html.parse_pages(pages).select("id", F.length("text").alias("n_chars"), F.sha1("text").alias("text_sha1"), "title", "speaker", _bar("dates").alias("dates"))
 
 
 @_query()
 def n3_normalized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to documents: text, title, speaker, date, type, source, hash, key."""
-    pages = _t(spark, sf_dir, "source_documents").filter("content_type = 'html'")
+    pages = spread(_t(spark, sf_dir, "source_documents").filter("content_type = 'html'"), "id")
     out = normalize.normalize_pages(html.parse_pages(pages, keep=("id", "source_url")))
     return out.select("id", "title", "speaker_name", F.col("speech_date").cast("string").alias("speech_date"), "document_type", "source", "source_hash", "word_count", "document_key")
 
