@@ -63,6 +63,11 @@ NICKNAMES = {
     "peg": "margaret", "peggy": "margaret", "marge": "margaret", "greta": "margaret", "matt": "matthew", "mike": "michael", "mick": "michael", "mickey": "michael", "nate": "nathaniel nathan", "nat": "nathaniel", "nick": "nicholas", "pat": "patricia patrick",
     "patty": "patricia", "tricia": "patricia", "trish": "patricia", "pete": "peter", "phil": "philip", "ray": "raymond", "dick": "richard", "rich": "richard", "ron": "ronald", "sam": "samuel samantha", "steve": "stephen steven", "steph": "stephanie",
     "sue": "susan", "susie": "susan", "suzy": "susan", "thea": "theodora dorothea", "dora": "theodora", "theo": "theodora theodore", "tom": "thomas", "tommy": "thomas", "tim": "timothy", "vic": "victor victoria", "vicky": "victoria", "vicki": "victoria",
+    "gaby": "gabriela gabriel", "pepe": "jose", "pepito": "jose", "paco": "francisco", "pancho": "francisco", "nacho": "ignacio", "lola": "dolores", "chuy": "jesus", "manny": "manuel emmanuel", "sasha": "alexander alexandra",
+    "misha": "mikhail michael", "kolya": "nikolai", "katya": "katherine ekaterina", "natasha": "natalia", "tanya": "tatiana", "hal": "henry harold", "sally": "sarah", "molly": "mary margaret", "polly": "mary", "nan": "nancy anne",
+    "annie": "anne ann", "nell": "eleanor helen", "nora": "eleanor honora", "ellie": "eleanor elizabeth", "lena": "helena magdalena", "jeff": "jeffrey geoffrey", "jon": "jonathan", "johnny": "john", "lou": "louis louise", "mandy": "amanda",
+    "cindy": "cynthia", "ginny": "virginia", "hettie": "henrietta", "kim": "kimberly", "max": "maximilian maxwell", "nicky": "nicholas nicole", "ollie": "oliver olivia", "reggie": "reginald", "russ": "russell", "sid": "sidney",
+    "stan": "stanley", "stu": "stuart", "terry": "terence theresa", "tess": "theresa", "val": "valerie valentine", "wes": "wesley", "jake": "jacob", "abe": "abraham", "gus": "augustus gustav", "hans": "johannes", "fritz": "friedrich",
     "tori": "victoria", "walt": "walter", "wendy": "gwendolyn", "zach": "zachary", "lindi": "lindiwe", "pri": "priya",
 }
 
