@@ -326,8 +326,7 @@ def _fits(records: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def _sole(fits: DataFrame) -> DataFrame:
     """``rid, pid`` of the records with one best profile."""
-    best = fits.groupBy("rid").agg(F.min(F.struct("tier", "d")).alias("best"), F.collect_set("pid").alias("all"))
-    # at most the profiles of one family name meet in a record, so the set stays small
+    best = fits.groupBy("rid").agg(F.min(F.struct("tier", "d")).alias("best"))
     top = fits.join(best, "rid").filter((F.col("tier") == F.col("best.tier")) & (F.col("d") <= F.col("best.d")))
     return top.groupBy("rid").agg(F.min("pid").alias("pid"), F.count_distinct("pid").alias("n")).filter("n = 1").select("rid", "pid")
 
