@@ -170,3 +170,19 @@ def normalize_markdown(texts_df: DataFrame, text_col: str = "markdown_text", met
     df = df.withColumn("speech_date", F.coalesce(F.try_to_date(meta("speech_date"), "yyyy-MM-dd"), extract_date(F.col("text"))))
     given = F.when(meta("document_type").isin(sites.DOCUMENT_TYPES), meta("document_type"))
     return _finish(df.withColumn("_given_type", given).withColumn("content_type", F.lit("markdown")).withColumn("source_type", F.coalesce(meta("source_type"), F.lit("markdown"))))
+
+
+#: Marks of the older line cleaner: what begins and what ends the text proper (fixed values).
+LINE_STARTS = ["Thank you", "Good morning", "Good afternoon", "Good evening"]
+LINE_ENDS = ["Last Update", "Back to Top", "Return to text"]
+
+
+def clean_lines(text: Column, least: int = 20, long: int = 100) -> Column:
+    """The older line cleaner: from the first line with a greeting, or the first long one after the top line, up to
+    the first end mark; lines of more than ``least`` characters. Empty where nothing begins."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), trim_ws), lambda x: x != "")
+    first = F.array_position(F.transform(lines, lambda x, i: has_any(x, LINE_STARTS) | ((i > 0) & (F.length(x) > long))), True).cast("int")
+    body = F.slice(lines, F.greatest(first, F.lit(1)), F.greatest(F.size(lines) - first + 1, F.lit(0)))
+    end = F.array_position(F.transform(body, lambda x: has_any(x, LINE_ENDS)), True).cast("int")
+    kept = F.when(end > 0, F.slice(body, F.lit(1), end - 1)).otherwise(body)
+    return F.when(first > 0, F.array_join(F.filter(kept, lambda x: F.length(x) > least), "\n\n")).otherwise("")

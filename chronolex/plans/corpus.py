@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.functions.ontology import DEFAULT, Ontology
-from chronolex.operators.compare import comparison_results
+from chronolex.operators.compare import comparison_results, theme_changes
 from chronolex.operators.fingerprint import headers, theme_assessments
 from chronolex.operators.phrases import phrase_signals
 from chronolex.plans.materialize import materialize
@@ -44,3 +44,19 @@ class Corpus:
 def phrases_of(documents: DataFrame, ontology: Ontology = DEFAULT) -> DataFrame:
     signals = phrase_signals(documents, ontology=ontology)
     return signals.join(documents.select("doc_id", F.col("speaker_name")), "doc_id")
+
+
+def compare_adhoc(target: DataFrame, base: DataFrame, history: DataFrame | None = None, ontology: Ontology = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compare two documents outside any store: ``(changes, new themes, orphaned themes)``.
+
+    ``target`` and ``base`` hold one document each (``doc_id, normalized_text``); ``history`` any number.
+    """
+    now = theme_assessments(target, ontology=ontology)
+    before = theme_assessments(base, ontology=ontology)
+    fields = ["stance", "trajectory", "emphasis_score", "hedging_level", "uncertainty"]
+    pairs = now.select("theme", F.struct(*fields).alias("after"), F.slice("evidence", 1, 2).alias("evidence_after")).join(
+        before.select("theme", F.struct(*fields).alias("before"), F.slice("evidence", 1, 2).alias("evidence_before")), "theme"
+    )
+    past = theme_assessments(history if history is not None else base, ontology=ontology).filter("emphasis_score >= 3").select("theme").distinct()
+    names = now.select("theme")
+    return theme_changes(pairs), names.join(before.select("theme"), "theme", "left_anti"), past.join(names, "theme", "left_anti")

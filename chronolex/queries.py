@@ -237,6 +237,33 @@ def n13_source_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", (h == F.col("source_hash")).alias("same_hash"), h.alias("hash"), X.word_count(F.col("normalized_text")).alias("words"))
 
 
+_LINES = f"list_filter(list_transform(string_split(normalized_text, chr(10)), lambda s: {_strip('s')}), lambda s: s <> '')"
+
+
+@_query(
+    f"""WITH l AS (SELECT doc_id, {_LINES} AS l FROM documents),
+f AS (SELECT *, coalesce(list_position(list_transform(l, lambda x, i: {_any('x', normalize.LINE_STARTS)} OR (i > 1 AND length(x) > 100)), true), 0) AS f FROM l),
+b AS (SELECT doc_id, f, CASE WHEN f > 0 THEN l[f:] ELSE [] END AS l FROM f),
+e AS (SELECT *, coalesce(list_position(list_transform(l, lambda x: {_any('x', normalize.LINE_ENDS)}), true), 0) AS e FROM b)
+SELECT doc_id, sha1(coalesce(array_to_string(list_filter(CASE WHEN e > 0 THEN l[1:e - 1] ELSE l END, lambda x: length(x) > 20), chr(10) || chr(10)), '')) AS cleaned_sha1 FROM e"""
+)
+def n14_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.sha1(normalize.clean_lines(F.col("normalized_text"))).alias("cleaned_sha1"))
+
+
+@_query(
+    f"""WITH {_THEMES}, {_PREVIOUS}, n AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM themes) THEN ['{O.DRAFT_NOTE}'] ELSE ['{O.DRAFT_NOTE}', '{O.NO_THEME_NOTE}'] END AS notes FROM documents)
+SELECT p.doc_id, array_to_string(list_concat(t.notes, list_filter(b.notes, lambda x: NOT list_contains(t.notes, x))), '|') AS notes FROM previous p JOIN n t USING (doc_id) JOIN n b ON b.doc_id = p.base_doc_id"""
+)
+def c12_merged_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comparison's notes: the target's and those of the base that it lacks."""
+    docs = _docs(spark, sf_dir)
+    notes = fingerprint.headers(docs).select("doc_id", "uncertainty_notes")
+    pairs = compare.previous_documents(docs).filter("base_doc_id is not null").join(notes, "doc_id")
+    both = pairs.join(notes.select(F.col("doc_id").alias("base_doc_id"), F.col("uncertainty_notes").alias("base_notes")), "base_doc_id")
+    return both.select("doc_id", _bar(compare.merged_notes(F.col("uncertainty_notes"), F.col("base_notes"))).alias("notes"))
+
+
 # --- stored tables and views ---
 
 

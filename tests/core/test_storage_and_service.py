@@ -122,3 +122,16 @@ def test_rest_stands_without_the_subpackage():
     for f in (root / "chronolex").rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "chronolex.llm" not in f.read_text() or f.name == "__init__.py"
+
+
+def test_report_and_adhoc(spark):
+    from chronolex.plans.corpus import compare_adhoc
+    from chronolex.service.report import gates, html_report
+
+    one = lambda i, t: spark.createDataFrame([(i, t)], "doc_id long, normalized_text string")
+    changes, new, gone = compare_adhoc(one(1, "Inflation is moderating. Inflation is improving. Jobs. Jobs."), one(2, BODY), one(3, "Growth. Growth. Growth. Demand."))
+    rows = [r.asDict() for r in changes.select("theme", "change_type", "strength").collect()]
+    assert rows == [{"theme": "INFLATION", "change_type": "more_optimistic", "strength": "high"}]
+    assert [r.theme for r in new.collect()] == ["LABOR_MARKETS"] and [r.theme for r in gone.collect()] == ["GROWTH_OUTLOOK"]
+    page = html_report("A <b>", "so", {"Changes": rows, "None": []}, gates(0.95, 1.0, 1))
+    assert "A &lt;b&gt;" in page and "more_optimistic" in page and "control: failed" in page and "consistency: passed" in page
