@@ -14,6 +14,7 @@ from chronolex.functions import ontology as O
 from chronolex.functions import text as X
 from chronolex.operators import artifacts, compare, fingerprint, normalize, phrases, shifts
 from chronolex.plans.corpus import Corpus
+from chronolex.plans.ship import ship
 from chronolex.plans.spread import spread
 from chronolex.sources import html, sites, store
 
@@ -32,7 +33,7 @@ def _query(sql: str | None = None) -> Callable:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
