@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolex.llm import boilerplate, bpe, names, near_duplicates, packing, repeated_lines, splitting, turns
+from chronolex.plans.ship import ship
 from chronolex.plans.spread import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df, df.columns[0])
 
 
