@@ -1,8 +1,11 @@
 """Phrase signals: rare runs of two to five words against the same speaker's own history.
 
 The runs come from shifted copies of the token array side by side, without a
-window or shuffle. One shuffle by speaker and run serves the history; a hot
-speaker is spread over its runs.
+window or shuffle. They travel as hashes with their place, fixed-width rows in one
+shuffle by (speaker, run) that serves both the counting within documents and
+the history; nearly all runs of a document differ, so there is nothing to combine before it.
+A hot speaker is spread over its runs. The words of the few runs kept are read back from
+the documents' own tokens.
 """
 
 from __future__ import annotations
@@ -31,26 +34,25 @@ def semantic_key(normalized: Column) -> Column:
 
 
 
-def phrase_counts(documents: DataFrame, keep: tuple[str, ...], text_col: str = "normalized_text", ontology: Ontology = DEFAULT) -> DataFrame:
-    """``keep, n, pos, phrase, current_count``: the runs of each document with their first place.
+def _runs(documents: DataFrame, keep: tuple[str, ...], text_col: str, ontology: Ontology) -> DataFrame:
+    """``keep, n, pos, h``: a row for each run of each document, ``h`` its hash.
 
     A run needs two words that aren't stopwords and isn't a low-signal phrase.
     """
     stop = texts(ontology.stopwords)
+    marked = F.transform(tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.struct(w.alias("w"), (~F.array_contains(stop, w)).cast("int").alias("k")))
+    base = documents.select(*keep, marked.alias("_t"))
     shifted = [F.slice("_t", k + 1, F.greatest(F.size("_t") - k, F.lit(0))) if k else F.col("_t") for k in range(max(SIZES))]
-    marks = [F.transform(s, lambda w: F.struct(w.alias("w"), (~F.array_contains(stop, w)).cast("int").alias("k"))) for s in shifted]
-    base = documents.select(*keep, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
     # one struct per position; beyond the end the shifted arrays give nulls
-    rows = base.select(*keep, F.posexplode(F.arrays_zip(*[m.alias(f"c{i}") for i, m in enumerate(marks)])).alias("pos", "z"))
+    rows = base.select(*keep, F.posexplode(F.arrays_zip(*[m.alias(f"c{i}") for i, m in enumerate(shifted)])).alias("pos", "z"))
     named = [F.col("z").getField(f"c{i}") for i in range(max(SIZES))]
     choices = []
     for n in SIZES:
         content = sum((named[i]["k"] for i in range(1, n)), named[0]["k"])
         phrase = F.concat_ws(" ", *[named[i]["w"] for i in range(n)])
         choices.append(F.when(named[n - 1].isNotNull() & (content >= 2), F.struct(F.lit(n).alias("n"), phrase.alias("phrase"))))
-    out = rows.select(*keep, "pos", F.explode(F.array_compact(F.array(*choices))).alias("g")).select(*keep, "pos", "g.n", "g.phrase")
-    out = out.filter(~F.col("phrase").isin(ontology.low_signal))
-    return out.groupBy(*keep, "n", "phrase").agg(F.count("*").cast("int").alias("current_count"), F.min("pos").alias("pos"))
+    out = rows.select(*keep, "pos", F.explode(F.array_compact(F.array(*choices))).alias("g")).filter(~F.col("g.phrase").isin(ontology.low_signal))
+    return out.select(*keep, "g.n", "pos", F.xxhash64("g.phrase").alias("h"))
 
 
 def phrase_signals(
@@ -64,19 +66,25 @@ def phrase_signals(
     without date has all other documents of its speaker for history, one without speaker none. Ties go to
     shorter runs, then to earlier ones.
     """
-    base = documents.select(F.col(key).alias("k"), F.col(speaker).alias("s"), F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("d"), F.col(text_col).alias("_x"))
-    counts = phrase_counts(base, ("k", "s", "d"), "_x", ontology)
-    told = counts.filter("s is not null")
-    before = Window.partitionBy("s", "phrase").orderBy("d").rangeBetween(-within_days, -1)
-    everything = Window.partitionBy("s", "phrase")
+    who = F.when(F.col(speaker).isNotNull(), F.xxhash64(speaker)).alias("s")
+    base = documents.select(F.col(key).alias("k"), who, F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("d"), F.col(text_col).alias("_x"))
+    runs = _runs(base, ("k", "s", "d"), "_x", ontology).repartition("s", "h")
+    counts = runs.groupBy("k", "s", "d", "n", "h").agg(F.count("*").cast("int").alias("current_count"), F.min("pos").alias("pos"))
+    before = Window.partitionBy("s", "h").orderBy("d").rangeBetween(-within_days, -1)
+    everything = Window.partitionBy("s", "h")
     # null days sort apart and form no range, so both sums come from one sort
-    history = F.when(F.col("d").isNotNull(), F.sum("current_count").over(before)).otherwise(F.sum("current_count").over(everything) - F.col("current_count"))
-    scored = told.withColumn("h", F.coalesce(history, F.lit(0)).cast("int")).unionByName(counts.filter("s is null").withColumn("h", F.lit(0)))
-    scored = scored.withColumn("r", rarity(F.col("current_count"), F.col("h")))
+    history = (
+        F.when(F.col("s").isNull(), F.lit(0))
+        .when(F.col("d").isNotNull(), F.sum("current_count").over(before))
+        .otherwise(F.sum("current_count").over(everything) - F.col("current_count"))
+    )
+    scored = counts.withColumn("past", F.coalesce(history, F.lit(0)).cast("int")).withColumn("r", rarity(F.col("current_count"), F.col("past")))
     order = Window.partitionBy("k").orderBy(F.desc("r"), "n", "pos")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    said = documents.select(F.col(key).alias("k"), tokens(F.col(text_col)).alias("_t"))
+    worded = ranked.join(said, "k").withColumn("phrase", F.array_join(F.slice("_t", F.col("pos") + 1, F.col("n")), " "))
     plain = normalized_phrase(F.col("phrase"))
-    return ranked.select(
+    return worded.select(
         F.col("k").alias(key), "rank", F.col("phrase").alias("phrase_text"), plain.alias("normalized_phrase"), semantic_key(plain).alias("semantic_key"), "current_count",
-        F.col("h").alias("historical_count"), F.round("r", 4).alias("rarity_score"),
+        F.col("past").alias("historical_count"), F.round("r", 4).alias("rarity_score"),
     )
