@@ -106,3 +106,13 @@ def test_repeated_lines(spark):
 def test_long_runs_of_edge_characters(spark):
     df = spark.createDataFrame([(i, "A", "-" * 50_000 + "x\n" + "." * 20_000) for i in range(6)], "doc_id long, source string, normalized_text string")
     assert {r.line_no for r in repeated_lines.find_repeated_lines(df).collect()} == {0}
+
+
+def test_bits_follow_the_symbols():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**16, (1, 96), dtype=np.uint16)
+    b = a.copy()
+    b[0, :10] ^= np.uint16(1)
+    b[0, 90:] ^= np.uint16(3)
+    x, y = near_duplicates.bits(np.concatenate([a, b])).view(np.uint64)
+    assert sum(int(v).bit_count() for v in x ^ y) == 10 + 6 + 6
