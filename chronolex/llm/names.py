@@ -29,7 +29,7 @@ from itertools import combinations
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.plans.components import connected_components
@@ -321,13 +321,16 @@ def _fits(records: DataFrame, profiles: DataFrame) -> DataFrame:
                     rows.append((x.rid, x.pid, s[0], s[1]))
             yield pd.DataFrame(rows, columns=["rid", "pid", "tier", "d"])
 
-    return paired.mapInPandas(run, "rid string, pid long, tier int, d double")
+    # few bytes but much work each: keep the planner from putting all pairs in one task
+    spark = records.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return paired.repartition(tasks, "rid").mapInPandas(run, "rid string, pid long, tier int, d double")
 
 
 def _sole(fits: DataFrame) -> DataFrame:
     """``rid, pid`` of the records with one best profile."""
-    best = fits.groupBy("rid").agg(F.min(F.struct("tier", "d")).alias("best"))
-    top = fits.join(best, "rid").filter((F.col("tier") == F.col("best.tier")) & (F.col("d") <= F.col("best.d")))
+    best = F.min(F.struct("tier", "d")).over(Window.partitionBy("rid"))
+    top = fits.withColumn("best", best).filter((F.col("tier") == F.col("best.tier")) & (F.col("d") <= F.col("best.d")))
     return top.groupBy("rid").agg(F.min("pid").alias("pid"), F.count_distinct("pid").alias("n")).filter("n = 1").select("rid", "pid")
 
 
