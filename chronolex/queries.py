@@ -673,6 +673,21 @@ def a1_theme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return themes.groupBy("theme").agg(F.count("*").alias("n_documents"), F.count_distinct("speaker_name").alias("n_speakers"), F.round(F.avg("emphasis_score"), 4).alias("mean_emphasis"))
 
 
+@_query()
+def x2_streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fetched pages streamed into a store of their own (every file once), then its documents."""
+    import uuid
+
+    from chronolex.session import shared_dir
+    from chronolex.streaming.incremental import stream_pages
+
+    where = f"{shared_dir(ship(spark))}/chronolex/streamed-{uuid.uuid4().hex}"
+    kept = store.Store(spark, where + "/store")
+    stream_pages(spark, f"{sf_dir}/source_documents.parque[t]", kept, where + "/progress", form="parquet").awaitTermination()
+    columns = ["document_key", "source_url", "title", "speaker_name", "document_type", "source_hash", "word_count"]
+    return kept.read("documents").select(*columns)
+
+
 @_query(
     """SELECT vec_id, label, round(sum_, 4) AS similarity FROM (SELECT e.vec_id, e.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS sum_ FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q) WHERE sum_ >= 0.2"""
 )

@@ -42,9 +42,9 @@ def ingest_pages(store: Store, pages: DataFrame, skip_seen: bool = True, ontolog
         documents.unpersist()
 
 
-def stream_pages(spark: SparkSession, folder: str, store: Store, checkpoint: str, max_files: int = 100) -> StreamingQuery:
+def stream_pages(spark: SparkSession, folder: str, store: Store, checkpoint: str, max_files: int = 100, form: str = "json") -> StreamingQuery:
     """Process all files that arrived (then stop); run it again for later ones."""
-    source = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", max_files).json(folder)
+    source = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", max_files).format(form).load(folder).filter("raw_content is not null")
 
     def each(batch: DataFrame, _number: int) -> None:
         ingest_pages(store, batch)
