@@ -96,8 +96,11 @@ def previous_documents(docs: DataFrame, within_days: int = HISTORY_DAYS) -> Data
     """
     d = _days(docs).select("doc_id", "speaker_name", "day", "created_at")
     place = F.struct("day", "created_at", "doc_id")
+    # by days first: a speaker has no more rows in the window than there are days
+    days = d.filter("day is not null").groupBy("speaker_name", "day").agg(F.max(place).alias("last"))
     w = Window.partitionBy("speaker_name").orderBy("day").rangeBetween(-within_days, -1)
-    dated = d.filter("day is not null").withColumn("base_doc_id", F.max(place).over(w)["doc_id"])
+    based = days.select("speaker_name", "day", F.max("last").over(w)["doc_id"].alias("base_doc_id"))
+    dated = d.filter("day is not null").join(based, ["speaker_name", "day"])
     undated = d.filter("day is null").select("doc_id", "speaker_name")
     # any dated document comes first; else the greatest other undated one, so the two greatest are enough
     newest = d.filter("day is not null").groupBy("speaker_name").agg(F.max(place)["doc_id"].alias("dated"))
@@ -139,18 +142,19 @@ def orphaned_themes(docs: DataFrame, themes: DataFrame, window_days: int | None
 
     History: the speaker's strictly earlier documents of ``window_days`` (else ``within_days``).
     Per (speaker, theme) a range frame over the days says whether the theme stood in the window,
-    so histories are never multiplied out.
+    so histories are never multiplied out and no speaker has more rows there than there are days.
     """
     reach = min(window_days or within_days, within_days)
     d = _days(docs).filter("day is not null").select("doc_id", "speaker_name", "day")
     loud = themes.filter(F.col("emphasis_score") >= min_emphasis).select("doc_id", "theme").distinct()
-    seen = d.join(loud, "doc_id").groupBy("speaker_name", "theme", "day").count()
+    seen = d.join(loud, "doc_id").groupBy("speaker_name", "theme", "day").agg(F.count("*").alias("n"))
     names = seen.select("speaker_name", "theme").distinct()
-    # every document asks for each theme its speaker ever stressed
-    asks = d.join(names, "speaker_name").select("speaker_name", "theme", "day", "doc_id", F.lit(0).alias("n"))
-    both = asks.unionByName(seen.select("speaker_name", "theme", "day", F.lit(None).cast(asks.schema["doc_id"].dataType).alias("doc_id"), F.lit(1).alias("n")))
+    # every day of a speaker asks for each theme the speaker ever stressed
+    asks = d.select("speaker_name", "day").distinct().join(names, "speaker_name").select("speaker_name", "theme", "day", F.lit(0).cast("long").alias("n"), F.lit(True).alias("ask"))
+    both = asks.unionByName(seen.select("speaker_name", "theme", "day", "n", F.lit(False).alias("ask")))
     w = Window.partitionBy("speaker_name", "theme").orderBy("day").rangeBetween(-reach, -1)
-    told = both.withColumn("seen", F.sum("n").over(w)).filter("doc_id is not null and seen > 0")
+    due = both.withColumn("seen", F.sum("n").over(w)).filter("ask and seen > 0").select("speaker_name", "theme", "day")
+    told = d.join(due, ["speaker_name", "day"])
     return told.select("doc_id", "theme").join(themes.select("doc_id", "theme"), ["doc_id", "theme"], "left_anti")
 
 
@@ -202,28 +206,29 @@ def window_summaries(docs: DataFrame, themes: DataFrame, window_days: int, label
     Counted by range frames per (speaker, theme) and (speaker, tone). Ties go to the theme or tone
     first seen in the window (latest document first), then to the ontology's order.
     """
-    toned = _days(docs).filter("day is not null").select("doc_id", "speaker_name", "day", "created_at", "overall_tone")
+    toned = _days(docs).filter("day is not null").select("doc_id", "speaker_name", "day", "overall_tone")
     d = toned.drop("overall_tone")
+    days = d.select("speaker_name", "day").distinct()
 
     def counted(values: DataFrame, name: str) -> DataFrame:
-        """Per document and value: how often it stood in the window, and its latest place there."""
-        per_day = values.groupBy("speaker_name", name, "day").agg(F.count("*").alias("n"), F.max(F.struct("created_at", "doc_id")).alias("last"), F.min("ordinal").alias("ordinal"))
+        """Per day and value: how often it stood in the window before, and the latest day it did."""
+        per_day = values.groupBy("speaker_name", name, "day").agg(F.count("*").alias("n"), F.min("ordinal").alias("ordinal"))
         names = per_day.groupBy("speaker_name", name).agg(F.min("ordinal").alias("ordinal"))
-        asks = d.join(names, "speaker_name").select("speaker_name", name, "day", "ordinal", F.col("doc_id").alias("ask"), F.lit(0).cast("long").alias("n"), F.lit(None).cast(per_day.schema["last"].dataType).alias("last"))
-        both = asks.unionByName(per_day.select("speaker_name", name, "day", "ordinal", F.lit(None).cast(d.schema["doc_id"].dataType).alias("ask"), "n", "last"))
+        asks = days.join(names, "speaker_name").select("speaker_name", name, "day", "ordinal", F.lit(0).cast("long").alias("n"), F.lit(True).alias("ask"))
+        both = asks.unionByName(per_day.select("speaker_name", name, "day", "ordinal", "n", F.lit(False).alias("ask")))
         w = Window.partitionBy("speaker_name", name).orderBy("day").rangeBetween(-window_days, -1)
-        place = F.when(F.col("last").isNotNull(), F.struct("day", "last"))
-        return both.withColumn("times", F.sum("n").over(w)).withColumn("seen", F.max(place).over(w)).filter("ask is not null and times > 0")
+        stood = F.max(F.when(F.col("n") > 0, F.col("day"))).over(w)
+        return both.withColumn("times", F.sum("n").over(w)).withColumn("seen", stood).filter("ask and times > 0")
 
     said = counted(d.join(themes.select("doc_id", "theme", "ordinal"), "doc_id"), "theme")
     tones = counted(toned.filter("overall_tone <> ''").withColumn("ordinal", F.lit(0)), "overall_tone")
-    order = F.struct((-F.col("times")).alias("t"), F.struct((-F.col("seen.day")).alias("d")).alias("s"), "ordinal")
-    top = said.groupBy(F.col("ask").alias("doc_id")).agg(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), "theme"))), 1, 3).alias("top"))
-    tone = tones.groupBy(F.col("ask").alias("doc_id")).agg(F.min(F.struct((-F.col("times")).alias("t"), (-F.col("seen.day")).alias("d"), F.col("overall_tone").alias("tone"))).alias("m"))
+    order = F.struct((-F.col("times")).alias("t"), (-F.col("seen")).alias("d"), "ordinal")
+    top = said.groupBy("speaker_name", "day").agg(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), "theme"))), 1, 3).alias("top"))
+    tone = tones.groupBy("speaker_name", "day").agg(F.min(F.struct((-F.col("times")).alias("t"), (-F.col("seen")).alias("d"), F.col("overall_tone").alias("tone"))).alias("m"))
     text = F.concat(
         F.lit(label + ": dominant themes "), F.coalesce(F.nullif(F.array_join(F.transform("top", lambda x: x["theme"]), ", "), F.lit("")), F.lit("none")),
         F.lit("; dominant tone "), F.coalesce("m.tone", F.lit("unknown")), F.lit("."),
     )
-    joined = d.select("doc_id").join(top, "doc_id", "left").join(tone, "doc_id", "left")
+    joined = d.join(top, ["speaker_name", "day"], "left").join(tone, ["speaker_name", "day"], "left")
     empty = F.col("top").isNull() & F.col("m").isNull()
     return joined.select("doc_id", F.when(empty, f"No documents available for {label}.").otherwise(text).alias("summary"))
