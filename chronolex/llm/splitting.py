@@ -72,6 +72,36 @@ def cuts(successor: np.ndarray, roots: np.ndarray) -> np.ndarray:
         successor = successor[successor]
 
 
+class Boundaries:
+    """Where a text may be cut: token positions ``ends`` with their kinds, and the byte position of every token."""
+
+    def __init__(self, text: str, ids: np.ndarray, word_sizes: np.ndarray, byte_length: np.ndarray):
+        n = len(ids)
+        self.raw = text.encode("utf-8", "replace")
+        buffer = np.frombuffer(self.raw + b" ", dtype=np.uint8)
+        self.at_byte = np.concatenate([[0], np.cumsum(byte_length[ids], dtype=np.int64)])
+        whole = (buffer[self.at_byte] & 0xC0) != 0x80  # a character begins here
+        self.whole_at = np.maximum.accumulate(np.where(whole, np.arange(n + 1), 0))
+        legal = np.zeros(n + 1, dtype=bool)
+        word_ends = np.cumsum(word_sizes)
+        legal[0] = legal[n] = True
+        legal[word_ends] = True
+        for k in np.nonzero(word_sizes > 8)[0]:  # a token end is only of use where no word ends within reach
+            legal[word_ends[k] - word_sizes[k] : word_ends[k]] = True
+        self.ends = np.nonzero(legal & whole)[0]
+        places = self.at_byte[self.ends]
+
+        def hit(pattern: re.Pattern) -> np.ndarray:
+            found = np.array([m.end() for m in pattern.finditer(self.raw)], dtype=np.int64)
+            at = np.searchsorted(places, found)
+            return np.unique(at[places[np.minimum(at, len(places) - 1)] == found])
+
+        self.kinds = [hit(_PARAGRAPH), hit(_SENTENCE), np.nonzero(buffer[places] <= 32)[0], np.arange(len(self.ends))]
+        self.kind = np.full(len(self.ends), 3)
+        for code in (2, 1, 0):
+            self.kind[self.kinds[code]] = code
+
+
 def split_corpus(df: DataFrame, limits: dict[int, tuple[int, int]], id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = TOKENIZER_PATH) -> DataFrame:
     """Pieces of all texts above a limit.
 
@@ -94,55 +124,30 @@ def split_corpus(df: DataFrame, limits: dict[int, tuple[int, int]], id_col: str
     def pieces(replay: MergeReplay, texts: list[str | None]) -> Iterator[tuple]:
         words = [split_words(t) if t else [] for t in texts]
         known = replay.learn(words)
-        encoded, roots, base = [], [], 0
+        long = []
         for row, w in enumerate(words):
             each = list(map(known.__getitem__, w))
             ids = np.fromiter(chain.from_iterable(each), dtype=np.int32)
-            if len(ids) <= smallest:
-                continue
-            encoded.append((row, ids, np.cumsum(np.fromiter(map(len, each), dtype=np.int64, count=len(each)))))
+            if len(ids) > smallest:
+                long.append((row, len(ids), Boundaries(texts[row], ids, np.fromiter(map(len, each), dtype=np.int64, count=len(each)), replay.byte_length)))
         for spec, (limit, overlap) in limits.items():
-            tables, known_ends, roots, base = [], [], [], 0
-            for row, ids, word_ends in encoded:
-                n = len(ids)
+            tables, parts, base = [], [], 0
+            for row, n, b in long:
                 if n <= limit:
                     continue
-                raw = texts[row].encode("utf-8", "replace")
-                buffer = np.frombuffer(raw + b" ", dtype=np.uint8)
-                at_byte = np.concatenate([[0], np.cumsum(replay.byte_length[ids], dtype=np.int64)])
-                whole = (buffer[at_byte] & 0xC0) != 0x80  # a character begins here
-                # a token end is only of use where no word ends within reach
-                long = np.diff(np.concatenate([[0], word_ends])) > 8
-                legal = np.zeros(n + 1, dtype=bool)
-                legal[0] = legal[n] = True
-                legal[word_ends] = True
-                for k in np.nonzero(long)[0]:
-                    legal[(word_ends[k - 1] if k else 0) : word_ends[k]] = True
-                ends = np.nonzero(legal & whole)[0]
-                of = {b: i for i, b in enumerate(at_byte[ends].tolist())}
-                hit = lambda pattern: np.array(sorted({of[m.end()] for m in pattern.finditer(raw) if m.end() in of}), dtype=np.int64)  # noqa: E731, B023
-                space = buffer[at_byte[ends]] <= 32
-                kinds = [hit(_PARAGRAPH), hit(_SENTENCE), np.nonzero(space)[0], np.arange(len(ends))]
-                starts = np.maximum(ends - overlap, 0)
-                whole_at = np.maximum.accumulate(np.where(whole, np.arange(n + 1), 0))
-                starts = whole_at[starts]
-                starts[0] = 0
-                tables.append(successors(n, ends, starts, kinds, limit, limit // 2) + base)
-                known_ends.append((row, raw, at_byte, ends, starts, kinds, base))
-                roots.append(base)
-                base += len(ends)
+                starts = b.whole_at[np.maximum(b.ends - overlap, 0)]
+                tables.append(successors(n, b.ends, starts, b.kinds, limit, limit // 2) + base)
+                parts.append((row, b, starts, base))
+                base += len(b.ends)
             if not tables:
                 continue
-            reached = cuts(np.concatenate(tables), np.array(roots))
-            for row, raw, at_byte, ends, starts, kinds, first in known_ends:
-                cut = np.nonzero(reached[first : first + len(ends)])[0]
-                for no, (i, j) in enumerate(zip(cut, cut[1:])):
-                    a, b = int(starts[i]), int(ends[j])
-                    kind = next(k for k, among in zip(KINDS, kinds) if j == len(ends) - 1 or (p := np.searchsorted(among, j)) < len(among) and among[p] == j)
-                    if j == len(ends) - 1:
-                        kind = "end"
-                    x, y = int(at_byte[a]), int(at_byte[b])
-                    yield spec, row, no, x, y, b - a, kind, raw[x:y].decode()
+            reached = cuts(np.concatenate(tables), np.array([p[3] for p in parts]))
+            for row, b, starts, first in parts:
+                cut = np.nonzero(reached[first : first + len(b.ends)])[0]
+                token_from, token_to = starts[cut[:-1]], b.ends[cut[1:]]
+                places = zip(b.at_byte[token_from].tolist(), b.at_byte[token_to].tolist(), (token_to - token_from).tolist(), b.kind[cut[1:]].tolist())
+                for no, (x, y, size, kind) in enumerate(places):
+                    yield spec, row, no, x, y, size, KINDS[kind] if y < b.at_byte[-1] else "end", b.raw[x:y].decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = MergeReplay(vocabulary.value)
