@@ -57,6 +57,7 @@ _LABEL = re.compile(
 )
 _ASKS = {"q", "question", "questioner", "audience", "audience member", "unidentified questioner"}
 _ANSWERS = {"a", "answer"}
+_MARKS = _ASKS | _ANSWERS
 _HEAD = re.compile(r"^[^:—;]{0,40}?(?::|—)\s*")
 
 
@@ -87,7 +88,7 @@ class Roster:
         for family, _, _ in people:
             self.exact.setdefault(plain(family), family)
             self.sounds.setdefault(sound(plain(family)), family)
-        self.known: dict[str, str | None] = {}
+        self.seen: dict[str, tuple[str | None, str | None, bool]] = {}
 
     def family(self, name: str) -> str | None:
         """The roster's spelling of a family name, or None."""
@@ -116,6 +117,11 @@ class Roster:
 
     def label(self, label: str) -> tuple[str | None, str | None, bool]:
         """``(speaker, odd family name, has a title)`` of a label; (None, None, _) if it is none."""
+        if label not in self.seen:
+            self.seen[label] = self._label(label)
+        return self.seen[label]
+
+    def _label(self, label: str) -> tuple[str | None, str | None, bool]:
         bare = plain(label).strip(" .:,*")
         if bare in _ASKS:
             return "question", None, True
@@ -153,9 +159,7 @@ def stretches(text: str | None, speaker_name: str | None, roster: Roster) -> lis
     speaker: str | None = None
     odd: str | None = None
     if speaker_name and speaker_name.strip():
-        if speaker_name not in roster.known:
-            roster.known[speaker_name] = roster.label(speaker_name)[:2]
-        speaker, odd = roster.known[speaker_name]
+        speaker, odd = roster.label(speaker_name)[:2]
     out, at = [], 0
     for m in _LABEL.finditer(text):
         kind = m.lastgroup if m.lastgroup != "e" else "n"
@@ -165,7 +169,7 @@ def stretches(text: str | None, speaker_name: str | None, roster: Roster) -> lis
         who, strange, titled = roster.label(label)
         if kind == "n":
             end = m.group("e")
-            mark = plain(label).strip(".") in _ASKS | _ANSWERS
+            mark = len(label) < 30 and plain(label).strip(".") in _MARKS
             if end == "." and not (mark or titled and who and (label.isupper() or len(label.split()) > 1)):
                 continue
             if end == "—" and not (who and re.search(r"\b[^\W\d_]\.", label) and not mark):
@@ -262,20 +266,24 @@ def speaker_turns(segments: DataFrame) -> DataFrame:
         .select("document_id", "segment_index", "row.speaker_name", "row.segment_type", "row.text")
     )
     once = materialize(once, "segments")
-    rosters = materialize(_rosters(once.filter("segment_type = 'header'")), "rosters")
+    # as one string too: it crosses to Python with every segment, lists of structs would cost more than the work there
+    line = F.array_join(F.transform("people", lambda p: F.concat_ws("\x1f", p["family"], p["given"], p["role"])), "\x1e")
+    rosters = materialize(_rosters(once.filter("segment_type = 'header'")).withColumn("line", line), "rosters")
     spoken = once.filter("segment_type is null or segment_type not in ('header', 'footer')")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, roster = None, Roster([])
+        kept: dict[int, Roster] = {}  # segments of a document need not stand together
         for b in batches:
             rows = []
-            for d, i, name, text, people in zip(b["document_id"], b["segment_index"], b["speaker_name"], b["text"], b["people"]):
-                if d != last:
-                    last, roster = d, Roster([(p["family"], p["given"], p["role"]) for p in people] if people is not None else [])
-                rows += [(d, i, k, *s) for k, s in enumerate(stretches(text, name, roster))]
+            for d, i, name, text, roster in zip(b["document_id"], b["segment_index"], b["speaker_name"], b["text"], b["line"]):
+                if d not in kept:
+                    if len(kept) >= 4000:
+                        kept.clear()
+                    kept[d] = Roster([tuple(p.split("\x1f")) for p in roster.split("\x1e")] if roster else [])
+                rows += [(d, i, k, *s) for k, s in enumerate(stretches(text, name, kept[d]))]
             yield pd.DataFrame(rows, columns=["document_id", "segment_index", "part", "speaker", "odd", "n_words"])
 
-    parts = spoken.join(rosters, "document_id", "left").select("document_id", "segment_index", "speaker_name", "text", "people").mapInPandas(
+    parts = spoken.join(rosters, "document_id", "left").select("document_id", "segment_index", "speaker_name", "text", "line").mapInPandas(
         read, "document_id long, segment_index int, part int, speaker string, odd string, n_words int"
     )
     parts = materialize(parts, "stretches")
