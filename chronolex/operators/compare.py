@@ -21,6 +21,7 @@ from chronolex.functions.text import texts
 #: Comparison types: trailing days of the context (null: all history loaded).
 TYPES: dict[str, int | None] = {"t_minus_1": None, "window_75d": 75, "window_24m": 730}
 HISTORY_DAYS = 730
+TOP_PHRASES = 10
 
 
 def ordered_delta(order: list[str], before: Column, after: Column) -> Column:
@@ -158,21 +159,21 @@ def orphaned_themes(docs: DataFrame, themes: DataFrame, window_days: int | None
     return told.select("doc_id", "theme").join(themes.select("doc_id", "theme"), ["doc_id", "theme"], "left_anti")
 
 
-def comparison_results(docs: DataFrame, themes: DataFrame, phrases: DataFrame | None = None, types: dict[str, int | None] = TYPES) -> DataFrame:
+def comparison_results(docs: DataFrame, themes: DataFrame, phrases: DataFrame, types: dict[str, int | None] = TYPES) -> DataFrame:
     """One row per document with history and comparison type.
 
-    ``doc_id, base_doc_id, comparison_type, window_days, n_changes, new_themes, orphaned, n_phrases, summary, comparison_key``.
-    All types share the previous document; only the context of the orphaned themes differs.
+    ``doc_id, base_doc_id, comparison_type, window_days, n_changes, new_themes, orphaned, phrase_anomalies, n_phrases, summary, comparison_key``.
+    All types share the previous document and the ten rarest phrases of the document (``phrases``: its
+    phrase signals); only the context of the orphaned themes differs.
     """
     base = previous_documents(docs).filter("base_doc_id is not null")
     changes = compare_to_previous(docs, themes).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_changes"))
     fresh = new_themes(docs, themes).groupBy("doc_id").agg(F.array_sort(F.collect_set("theme")).alias("new_themes"))
     kinds = F.array(*[F.struct(F.lit(k).alias("comparison_type"), F.lit(w).cast("int").alias("window_days")) for k, w in types.items()])
     rows = base.join(changes, "doc_id", "left").join(fresh, "doc_id", "left")
-    if phrases is not None:
-        rows = rows.join(phrases.filter("rank <= 10").groupBy("doc_id").agg(F.count("*").cast("int").alias("n_phrases")), "doc_id", "left")
-    else:
-        rows = rows.withColumn("n_phrases", F.lit(0))
+    # ranks go by the unrounded rarity, so they also order the rounded one with its ties
+    rare = F.array_sort(F.collect_list(F.struct("rank", "phrase_text", "semantic_key", "rarity_score")))
+    rows = rows.join(phrases.filter(F.col("rank") <= TOP_PHRASES).groupBy("doc_id").agg(rare.alias("phrase_anomalies"), F.count("*").cast("int").alias("n_phrases")), "doc_id", "left")
     rows = rows.select("*", F.explode(kinds).alias("_k")).select("*", "_k.*").drop("_k")
     gone = None
     for kind, days in types.items():
@@ -180,9 +181,10 @@ def comparison_results(docs: DataFrame, themes: DataFrame, phrases: DataFrame |
         gone = o if gone is None else gone.unionByName(o)
     rows = rows.join(gone, ["doc_id", "comparison_type"], "left")
     none = F.array().cast("array<string>")
+    rows = rows.withColumn("phrase_anomalies", F.coalesce("phrase_anomalies", F.array().cast(rows.schema["phrase_anomalies"].dataType)))
     rows = rows.withColumns({"n_changes": F.coalesce("n_changes", F.lit(0)), "n_phrases": F.coalesce("n_phrases", F.lit(0)), "new_themes": F.coalesce("new_themes", none), "orphaned": F.coalesce("orphaned", none)})
     return rows.select(
-        "doc_id", "base_doc_id", "comparison_type", "window_days", "n_changes", "new_themes", "orphaned", "n_phrases", summary_line(F.col("n_changes"), F.size("new_themes"), F.size("orphaned"), F.col("n_phrases")).alias("summary"),
+        "doc_id", "base_doc_id", "comparison_type", "window_days", "n_changes", "new_themes", "orphaned", "phrase_anomalies", "n_phrases", summary_line(F.col("n_changes"), F.size("new_themes"), F.size("orphaned"), F.col("n_phrases")).alias("summary"),
         F.concat(F.lit("cmp_"), F.substring(F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("base_doc_id").cast("string"), "comparison_type")), 1, 12)).alias("comparison_key"),
     )
 

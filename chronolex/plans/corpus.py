@@ -20,6 +20,7 @@ class Corpus:
 
     docs: DataFrame
     themes: DataFrame
+    documents: DataFrame
     ontology: Ontology = DEFAULT
 
     @staticmethod
@@ -34,10 +35,13 @@ class Corpus:
         tones = headers(documents, themes, ontology=ontology)
         columns = ["doc_id", "document_key", "speaker_name", "title", "speech_date", "document_type", "created_at"]
         docs = documents.select(*columns).join(tones.select("doc_id", "overall_tone"), "doc_id")
-        return Corpus(docs, themes, ontology)
+        return Corpus(docs, themes, documents, ontology)
 
     def comparisons(self, phrases: DataFrame | None = None) -> DataFrame:
+        """All comparisons, each with its document's rarest phrases (``phrases``: their signals, else computed)."""
         about = self.docs.select("doc_id", "speaker_name", "created_at")
+        if phrases is None:  # documents without a speaker are neither compared nor anyone's history
+            phrases = phrase_signals(self.documents.filter("speaker_name is not null"), ontology=self.ontology)
         return comparison_results(self.docs, self.themes, phrases).join(about, "doc_id")
 
 

@@ -453,7 +453,7 @@ WHERE p.base_doc_id IS NOT NULL"""
 )
 def c15_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _corpus(spark, sf_dir).comparisons()
-    return rows.select("doc_id", "base_doc_id", "comparison_type", F.coalesce("window_days", F.lit(0)).alias("window_days"), "n_changes", _bar("new_themes").alias("new_themes"), _bar("orphaned").alias("orphaned"), "summary")
+    return rows.select("doc_id", "base_doc_id", "comparison_type", F.coalesce("window_days", F.lit(0)).alias("window_days"), "n_changes", _bar("new_themes").alias("new_themes"), _bar("orphaned").alias("orphaned"), "n_phrases", _bar("phrase_anomalies.phrase_text").alias("phrase_anomalies"), "summary")
 
 
 @_query(

@@ -71,7 +71,8 @@ class TextService:
 
     def _brief(self, speaker_name: str, theme: str | None) -> DataFrame:
         c, own = self._corpus(speaker_name)
-        return artifacts.speaker_brief(c.docs, c.themes, c.comparisons(), phrases_of(own), theme=theme)
+        signals = phrases_of(own)
+        return artifacts.speaker_brief(c.docs, c.themes, c.comparisons(signals), signals, theme=theme)
 
     def speaker_brief(self, speaker_name: str, theme: str | None = None) -> dict[str, Any]:
         rows = _rows(self._brief(speaker_name, theme))

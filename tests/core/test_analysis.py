@@ -131,6 +131,18 @@ def test_comparisons(corpus):
     assert changes.change_type == "more_concerned" and changes.strength == "high" and changes.summary.startswith("stance moved from very_optimistic to very_concerned; trajectory moved")
 
 
+def test_comparisons_carry_phrases(corpus, documents):
+    ranked = {}
+    for r in phrases.phrase_signals(documents).orderBy("doc_id", "rank").collect():
+        ranked.setdefault(r.doc_id, []).append(r.phrase_text)
+    rows = corpus.comparisons().collect()
+    for r in rows:
+        expected = ranked.get(r.doc_id, [])[:10]
+        assert [x.phrase_text for x in r.phrase_anomalies] == expected and r.n_phrases == len(expected)
+        assert (f"{len(expected)} phrase anomalies" in r.summary) == bool(expected)
+    assert {r.n_phrases for r in rows if r.doc_id in (2, 8)} == {0, 10}
+
+
 def test_window_summaries(corpus):
     got = {r.doc_id: r.summary for r in compare.window_summaries(corpus.docs, corpus.themes, 75, "75d").collect()}
     assert got[1] == "No documents available for 75d." and got[2] == "75d: dominant themes INFLATION; dominant tone confident." or got[2].startswith("75d: dominant themes INFLATION")
