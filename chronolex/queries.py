@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronolex.functions import ontology as O
 from chronolex.functions import text as X
-from chronolex.operators import artifacts, compare, fingerprint, normalize, phrases, shifts
+from chronolex.operators import artifacts, compare, fingerprint, normalize, phrases, shifts, similarity
 from chronolex.plans.corpus import Corpus
 from chronolex.plans.ship import ship
 from chronolex.plans.spread import spread
@@ -692,12 +692,10 @@ def x2_streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT vec_id, label, round(sum_, 4) AS similarity FROM (SELECT e.vec_id, e.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS sum_ FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q) WHERE sum_ >= 0.2"""
 )
 def x1_concept_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine similarity of all concept vectors to the first one, above a threshold."""
-    e = _t(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
-    q = F.broadcast(e.orderBy("vec_id").limit(1).select(F.col("v").alias("q")))  # one row
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = e.join(q).withColumn("s", dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q")))
-    return rows.filter("s >= 0.2").select("vec_id", "label", F.round("s", 4).alias("similarity"))
+    """Cosine similarity of every twentieth concept vector (by id) to all of them, above a threshold."""
+    e = spread(_t(spark, sf_dir, "embeddings"), "vec_id")
+    found = similarity.similar_vectors(e, e.filter("vec_id % 20 = 0"), 0.2)
+    return found.join(e.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", F.round("similarity", 4).alias("similarity"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

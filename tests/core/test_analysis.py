@@ -217,6 +217,20 @@ def test_empty_tables(documents):
     assert artifacts.theme_drift(c.docs, c.themes).count() == 0 and phrases.phrase_signals(documents.limit(0)).count() == 0
 
 
+def test_similarity_search_asks_with_every_twentieth(spark, tmp_path):
+    from chronolex.queries import x1_concept_similarity
+
+    vectors = {i: [math.sin(i * k + k) for k in range(1, 9)] for i in range(5, 645)} | {700: None, 720: [0.0] * 8}
+    spark.createDataFrame([(i, v, i % 3) for i, v in vectors.items()], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.query_id, r.vec_id): (r.similarity, r.label) for r in x1_concept_similarity(spark, str(tmp_path)).collect()}
+    kept = {i: v for i, v in vectors.items() if v and any(v)}
+    norm = {i: math.sqrt(sum(x * x for x in v)) for i, v in kept.items()}
+    expected = {(q, i): sum(x * y for x, y in zip(kept[q], kept[i])) / norm[q] / norm[i] for q in kept if q % 20 == 0 for i in kept}
+    assert {q for q, _ in got} == set(range(20, 645, 20))
+    assert set(got) == {k for k, s in expected.items() if s >= 0.2}
+    assert all(s == pytest.approx(expected[k], abs=1e-4) and label == k[1] % 3 for k, (s, label) in got.items())
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200), (102, 100)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
