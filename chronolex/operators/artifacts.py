@@ -152,8 +152,8 @@ def highlights(brief: DataFrame) -> DataFrame:
     return brief.select("speaker_name", "theme_focus", said.alias("highlights"))
 
 
-def documents_before(docs: DataFrame, speaker: str, limit: int = 100, before: str | None = None, within_days: int | None = None) -> DataFrame:
-    """A speaker's latest ``limit`` documents, then those strictly before a date and not older than ``within_days`` before it."""
+def documents_before(docs: DataFrame, speaker: str | None = None, limit: int = 100, before: str | None = None, within_days: int | None = None) -> DataFrame:
+    """A speaker's (else each speaker's) latest ``limit`` documents, then those strictly before a date and not older than ``within_days`` before it."""
     rows = latest_documents(docs, limit, speaker)
     if before:
         rows = rows.filter(F.col("speech_date") < F.lit(before).cast("date"))

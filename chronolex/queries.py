@@ -633,8 +633,9 @@ def q10_latest_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_LATEST.format(limit=100)} SELECT doc_id, CAST(speech_date AS VARCHAR) AS speech_date, CAST(rn AS INTEGER) AS rn FROM ranked WHERE speaker_name = 'Henrik Lunvrabane' AND speech_date < DATE '2024-01-01' AND speech_date >= DATE '2024-01-01' - INTERVAL 730 DAY"""
 )
 def q11_documents_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = artifacts.documents_before(_docs(spark, sf_dir), "Henrik Lunvrabane", 100, "2024-01-01", 730)
-    return rows.select("doc_id", F.col("speech_date").cast("string").alias("speech_date"), "rn")
+    """Each speaker's documents of the two years before 2024."""
+    rows = artifacts.documents_before(_docs(spark, sf_dir), None, 100, "2024-01-01", 730)
+    return rows.select("speaker_name", "doc_id", F.col("speech_date").cast("string").alias("speech_date"), "rn")
 
 
 @_query(

@@ -199,6 +199,14 @@ def test_artifacts(corpus, documents):
     assert [r.doc_id for r in before] == [1]
 
 
+def test_documents_before_of_all_speakers(documents, spark, tmp_path):
+    from chronolex.queries import q11_documents_before
+
+    documents.withColumn("speech_date", F.date_sub("speech_date", 15)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.speaker_name, r.doc_id, r.speech_date) for r in q11_documents_before(spark, str(tmp_path)).collect()}
+    assert got == {("Ann", 1, "2023-12-17"), ("Ann", 2, "2023-12-27"), ("Bob", 5, "2023-12-22"), ("Bob", 7, "2023-12-22"), ("Bob", 8, "2023-12-23")}
+
+
 def test_infer_theme(spark):
     rows = spark.createDataFrame([("Where are RATES going?",), ("jobs and inflation",), ("hello",), (None,)], "q string")
     assert [r.t for r in rows.select(artifacts.infer_theme(F.col("q")).alias("t")).collect()] == ["POLICY_STANCE", "INFLATION", None, None]
