@@ -22,6 +22,8 @@ never found; an empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,13 +87,12 @@ def find_repeated_lines(
 
 
 def frequent_sequences(
-    df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "normalized_text", min_docs: int = 5, min_percent: int = 5, max_lines: int = 8
+    df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "normalized_text", min_docs: int = 5, min_percent: int = 5, max_lines: int | None = None
 ) -> DataFrame:
-    """``source, n_lines, lines, docs``: the frequent sequences of one to ``max_lines`` lines.
+    """``source, n_lines, lines, docs``: the frequent sequences, of every length (or up to ``max_lines``).
 
-    A longer repeated block shows as its overlapping sequences of ``max_lines``;
-    which lines are deleted doesn't depend on that length. The loop runs once
-    per length; what it fetches is whether a level is empty.
+    Which lines are deleted doesn't depend on the length. The loop runs once
+    per length, until a level is empty; what it fetches is whether it is.
     """
     items = materialize(find_repeated_lines(df, id_col, source_col, text_col, min_docs, min_percent, with_form=True), "lines")
     totals = _sources(df, source_col)
@@ -101,7 +102,7 @@ def frequent_sequences(
     at = items.select(F.col(id_col).alias("doc"), "src", F.col("seq").alias("end"), F.col("h1").alias("p1"), F.col("h2").alias("p2"))
     patterns = single.select("src", F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.array("form").alias("lines"))
     following = items.select(F.col(id_col).alias("doc"), (F.col("seq") - 1).alias("end"), "h1", "h2", "form")
-    for n in range(2, max_lines + 1):
+    for n in count(2) if max_lines is None else range(2, max_lines + 1):
         grown = at.join(following, ["doc", "end"]).select(
             "doc", "src", (F.col("end") + 1).alias("end"), "p1", "p2", F.xxhash64("p1", "h1").alias("q1"), F.xxhash64("p2", "h2").alias("q2"), "form"
         )

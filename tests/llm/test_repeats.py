@@ -116,3 +116,11 @@ def test_bits_follow_the_symbols():
     b[0, 90:] ^= np.uint16(3)
     x, y = near_duplicates.bits(np.concatenate([a, b])).view(np.uint64)
     assert sum(int(v).bit_count() for v in x ^ y) == 10 + 6 + 6
+
+
+def test_sequences_of_any_length(spark):
+    block = [f"line {chr(97 + i)} of the block" for i in range(11)]
+    docs = [(i, "A", "\n".join([f"opening {chr(97 + i)}", *block, f"closing {chr(97 + i)}"])) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, normalized_text string")
+    got = {tuple(r.lines): r.docs for r in repeated_lines.frequent_sequences(df).collect()}
+    assert got == {tuple(block[a:b]): 6 for a in range(11) for b in range(a + 1, 12)}
