@@ -676,7 +676,7 @@ def a1_theme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def x2_streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fetched pages streamed into a store of their own (every file once), then its documents."""
+    """All fetched pages streamed into a store of their own (every file once), then its documents with what their analysis stored."""
     import uuid
 
     from chronolex.session import shared_dir
@@ -686,7 +686,13 @@ def x2_streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = store.Store(spark, where + "/store")
     stream_pages(spark, f"{sf_dir}/source_documents.parque[t]", kept, where + "/progress", form="parquet").awaitTermination()
     columns = ["document_key", "source_url", "title", "speaker_name", "document_type", "source_hash", "word_count"]
-    return kept.read("documents").select(*columns)
+    docs = kept.read("documents").select("doc_id", *columns)
+    for table, name in (("theme_assessments", "n_themes"), ("phrase_observations", "n_phrases"), ("comparison_results", "n_comparisons"), ("analysis_runs", "n_runs")):
+        key = "target_id" if table == "analysis_runs" else "document_key"
+        n = kept.read(table).groupBy(F.col(key).alias("document_key")).agg(F.count("*").alias(name))
+        docs = docs.join(n, "document_key", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    last = kept.read("comparison_results").filter("comparison_type = 't_minus_1'").select("document_key", "base_doc_id", "summary")
+    return docs.join(last, "document_key", "left").drop("doc_id")
 
 
 @_query(

@@ -25,7 +25,7 @@ KEYS: dict[str, list[str]] = {
     "analysis_runs": ["run_key"],
     "fingerprints": ["document_key", "prompt_version", "model_version"],
     "theme_assessments": ["document_key", "prompt_version", "model_version", "theme"],
-    "phrase_observations": ["document_key", "semantic_key"],
+    "phrase_observations": ["document_key", "phrase_text"],
     "comparison_results": ["comparison_key"],
 }
 

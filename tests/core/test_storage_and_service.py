@@ -69,6 +69,33 @@ def test_stream(spark, tmp_path):
     assert s.read("theme_assessments").filter("theme = 'INFLATION'").count() == len(first) and s.read("fingerprints").count() == len(first) and s.read("document_segments").count() >= 1
 
 
+def test_stream_stores_the_whole_analysis(spark, tmp_path):
+    from chronolex.operators import phrases
+    from chronolex.plans.corpus import Corpus
+
+    files, s = tmp_path / "in", store.Store(spark, str(tmp_path / "store"))
+    files.mkdir()
+    bodies = [BODY, BODY + "Jobs and employment are strong."]
+    for i, body in enumerate(bodies):
+        row = {"id": i, "source_url": f"https://x.example/{i}", "raw_content": page(f"2024-01-0{i + 2}", body)}
+        (files / f"{i}.json").write_text(json.dumps(row) + "\n")
+        stream_pages(spark, str(files), s, str(tmp_path / "cp")).awaitTermination()
+    docs = s.read("documents")
+    assert docs.count() == 2 and docs.select("speaker_name").distinct().count() == 1
+    # each arrived after what it is compared with, so the stream's rows are those of the whole corpus
+    c = Corpus.of(docs)
+    whole = {(r.comparison_key, r.summary, r.n_changes, r.n_phrases) for r in c.comparisons().collect()}
+    kept = s.read("comparison_results").collect()
+    assert len(kept) == 3 and {(r.comparison_key, r.summary, r.n_changes, r.n_phrases) for r in kept} == whole
+    assert all(r.n_changes == len(r.theme_changes) and r.uncertainty_notes and "phrase anomalies" in r.summary for r in kept)
+    signals = {(r.doc_id, r["rank"], r.phrase_text, r.historical_count) for r in phrases.phrase_signals(docs).collect()}
+    assert {(r.doc_id, r["rank"], r.phrase_text, r.historical_count) for r in s.read("phrase_observations").collect()} == signals
+    assert max(n for *_, n in signals) > 0
+    assert [r.name for r in s.read("speakers").collect()] == ["Ann Other"]
+    runs = s.read("analysis_runs").collect()
+    assert {r.target_id for r in runs} == {r.document_key for r in docs.collect()} and len(runs) == 2 and all(json.loads(r.parsed_output)["overall_tone"] for r in runs)
+
+
 @pytest.fixture(scope="module")
 def service(spark):
     pages = {f"https://x.example/{i}": page(f"2024-0{i}-02", BODY + f"Number {i} is special this time. " * i) for i in (1, 2, 3)}
