@@ -1,19 +1,24 @@
 """Speaker turns from the segments of transcripts.
 
-1. Each (document, segment) is taken once. The headers give every document's
-   roster: the persons in order with family name, given name and role.
-2. Every segment is read on its own: time marks and sound notes go out, labels
-   cut the text into stretches, hesitation sounds go out, words are counted. A
-   label is held against the document's roster, exactly, by sound, then by edits.
-3. Labels that fit nobody of their own roster are grouped by sound. They meet
-   the rosters of all transcripts in phonetic blocks, and an optimal assignment
-   (least total distance) gives groups to persons of the own roster whom no other
-   label named; what stays takes the family name as other headers spell it.
+1. Each (document, segment) is taken once and read on its own, in one pass: headers
+   give the document's roster (the persons in order with family name, given name
+   and role); in other segments time marks and sound notes go out, possible labels
+   cut the text into stretches, words other than hesitation sounds are counted.
+   No text goes further than this.
+2. The distinct labels of a document meet its roster in phonetic blocks (names
+   alike up to deletions, as spelled or as they sound; an exact match is the block
+   without deletions). An optimal assignment with the least total distance gives
+   every name a person; a person may be given to several names, at a small charge
+   for each after the first.
+3. Names that no block of their own roster holds meet the rosters of all
+   transcripts in blocks of sound; a second assignment gives them to persons of the
+   own roster whom no other label named; what stays takes the family name as other
+   headers spell it. A form that only a known name makes a label is text otherwise.
 4. Window functions order the stretches: a stretch without label and name takes
    the last speaker, stretches without words drop out, neighbours of one speaker
    are one turn.
 
-Only rosters and distinct odd labels are gathered per document; the segments of
+Only rosters and distinct labels are gathered per document; the segments of
 a document stay rows, so a document of any length streams through a window.
 
 Defined results: null texts have no words; segments with a null document or
@@ -25,13 +30,15 @@ stretch is a turn of its own; ties of repeated segments go to the earliest row.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.llm.names import ROLES, edits, parse, plain, sound
+from chronolex.llm.names import ROLES, deletions, edits, parse, plain, sound
 from chronolex.plans.materialize import materialize
 
 _TIME = re.compile(r"\[\s*\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d+)?(?:\s*(?:-->?|–|—|to)\s*\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d+)?)?\s*\]|<\s*\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d+)?\s*>|\(\s*\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d+)?\s*\)")
@@ -78,33 +85,59 @@ def read_header(text: str) -> list[tuple[str, str, str]]:
     return people
 
 
+class _Memo(dict):
+    """A function's values, kept for up to ``most`` arguments and then gathered anew."""
+
+    def __init__(self, function, most: int = 200_000):
+        super().__init__()
+        self.function, self.most = function, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.function(key)
+        return value
+
+
+def _read_label(label: str) -> tuple[str, list[str], int, str]:
+    """``(plain form, words, leading role words, family name as parsed)`` of a label."""
+    bare = plain(label).strip(" .:,*")
+    words = [w for w in re.split(r"[\s.,]+", bare) if w]
+    titles = 0
+    while titles < len(words) and words[titles] in ROLES:
+        titles += 1
+    record = parse(label) if titles < len(words) else None
+    return bare, words, titles, record["family"] if record else ""
+
+
+def _blocks(name: str) -> frozenset[str]:
+    """Blocks a name is in: itself with letters left out, as spelled and as it sounds."""
+    return frozenset(deletions(name) | {"~" + k for k in deletions(sound(name))})
+
+
+_readings, _block_keys = _Memo(_read_label), _Memo(_blocks)
+#: Cost of leaving a name without a person, and of giving one person to one more name.
+UNPLACED, SHARED = 3.0, 0.3
+
+
+def _apart(name: str, other: str) -> float:
+    """Distance of two names of one block; more than 2: not the same."""
+    a, b = sound(name), sound(other)
+    if a == b:
+        return 0.25
+    most = 2 if min(len(name), len(other)) >= 6 else 1
+    d = min(edits(name, other, most), edits(a, b, most))
+    return float(d) if d <= most else 9.0
+
+
 class Roster:
-    """A document's persons; finds whom a label means."""
+    """A document's persons; finds whom labels mean."""
 
     def __init__(self, people: list[tuple[str, str, str]]):
         self.people = people
         self.exact: dict[str, str] = {}
-        self.sounds: dict[str, str] = {}
         for family, _, _ in people:
             self.exact.setdefault(plain(family), family)
-            self.sounds.setdefault(sound(plain(family)), family)
-        self.seen: dict[str, tuple[str | None, str | None, bool]] = {}
-
-    def family(self, name: str) -> str | None:
-        """The roster's spelling of a family name, or None."""
-        if name in self.exact:
-            return self.exact[name]
-        s = sound(name)
-        if s in self.sounds:
-            return self.sounds[s]
-        found = []
-        for plain_name, family in self.exact.items():
-            most = 2 if min(len(plain_name), len(name)) >= 6 else 1
-            d = min(edits(name, plain_name, most), edits(s, sound(plain_name), most))
-            if d <= most:
-                found.append((d, family))
-        found.sort()
-        return found[0][1] if found and (len(found) == 1 or found[0][0] < found[1][0]) else None
 
     def role(self, words: list[str]) -> str | None:
         """The person with this role; the main speaker where no person has it."""
@@ -115,78 +148,149 @@ class Roster:
                     return family
         return self.people[0][0] if self.people else None
 
-    def label(self, label: str) -> tuple[str | None, str | None, bool]:
-        """``(speaker, odd family name, has a title)`` of a label; (None, None, _) if it is none."""
-        if label not in self.seen:
-            self.seen[label] = self._label(label)
-        return self.seen[label]
-
-    def _label(self, label: str) -> tuple[str | None, str | None, bool]:
-        bare = plain(label).strip(" .:,*")
-        if bare in _ASKS:
-            return "question", None, True
-        if bare in _ANSWERS:
-            return (self.people[0][0] if self.people else None), None, True
-        words = [w for w in re.split(r"[\s.,]+", bare) if w]
-        titled = 0
-        while words and words[0] in ROLES and words[0] not in self.exact:
-            words = words[1:]
-            titled += 1
-        if not words:
-            named = [w for w in re.split(r"[\s.,]+", bare) if w and w != "the"]
-            return (self.role(named), None, True) if named else (None, None, True)
-        record = parse(label)
-        names = [w for w in (record and record["family"], words[-1], words[0]) if w]
-        for w in names:
-            if w in self.exact:
-                return self.exact[w], None, bool(titled)
-        for w in names[:1]:
-            family = self.family(w)
-            if family:
-                return family, None, bool(titled)
-        return None, names[0], bool(titled)
-
-
-def _starts(text: str, at: int) -> bool:
-    """Whether a label may stand here: at the start, on a new line or after a sentence."""
-    before = text[:at].rstrip(" \t")
-    return not before or before[-1] in ".?!…\n:—" or before.endswith(("”", '"', ")")) and before[-2:-1] in ".?!"
-
-
-def stretches(text: str | None, speaker_name: str | None, roster: Roster) -> list[tuple[str | None, str | None, int]]:
-    """``(speaker, odd name, words)`` of the stretches of a segment; (None, None, _) goes on with the last speaker."""
-    text = _NOTE.sub(" ", _TIME.sub(" ", text or ""))
-    speaker: str | None = None
-    odd: str | None = None
-    if speaker_name and speaker_name.strip():
-        speaker, odd = roster.label(speaker_name)[:2]
-    out, at = [], 0
-    for m in _LABEL.finditer(text):
+    def place(self, names: list[str]) -> dict[str, str]:
+        """The persons of family names, by blocks and least total distance; names of nobody are left out."""
+        if all(n in self.exact for n in names):  # at cost 0 each: no assignment is better
+            return {n: self.exact[n] for n in names}
+        held = defaultdict(set)
+        for known in self.exact:
+            for k in _block_keys[known]:
+                held[k].add(known)
+        edges = []
+        for n in names:
+            met = set().union(*(held[k] for k in _block_keys[n] if k in held))
+            far = {m: 0.0 if m == n else _apart(n, m) for m in sorted(met)}
+            edges.append({m: d for m, d in far.items() if d <= 2})
+        columns = [(m, copy) for m in self.exact for copy in range(sum(m in e for e in edges))]
+        costs = [[e[m] + SHARED * copy if m in e else 2 * UNPLACED for m, copy in columns] + [UNPLACED] * len(names) for e in edges]
+        return {n: self.exact[columns[j][0]] for n, j in zip(names, assign(costs)) if j < len(columns)}
+
+    def resolve(self, labels: list[tuple[str, str]]) -> list[tuple[bool, str | None, str | None]]:
+        """``(is a label, speaker, odd family name)`` of labels with their form (see :func:`read_segment`)."""
+        read = []
+        for label, _ in labels:
+            bare, words, titles, family = _readings[label]
+            known = next((i for i, w in enumerate(words[:titles]) if w in self.exact), titles)
+            words, titled = words[known:], known > 0
+            if bare in _ASKS:
+                read.append(("question", None, True))
+            elif bare in _ANSWERS:
+                read.append((self.people[0][0] if self.people else None, None, True))
+            elif words:
+                names = [w for w in (family, words[-1], words[0]) if w]
+                read.append((None, next((w for w in names if w in self.exact), names[0]), titled))
+            else:
+                named = [w for w in _readings[label][1] if w != "the"]
+                read.append((self.role(named) if named else None, None, True))
+        meant = self.place(list(dict.fromkeys(name for _, name, _ in read if name)))
+        out = []
+        for (label, form), (who, name, titled) in zip(labels, read):
+            who = who or meant.get(name)
+            odd = name if who is None else None
+            if form == "n.":
+                taken = bool(titled and who and (label.isupper() or len(label.split()) > 1))
+            elif form == "n—":
+                taken = who is not None
+            elif form == "n:":
+                taken = who is not None or odd is not None and (titled or label.isupper() and len(label) > 3)
+            elif form == "k":
+                taken = who is not None and (who != "question" or plain(label) in _ASKS)
+            elif form == "p":
+                taken = who is not None or odd is not None
+            else:
+                taken = True
+            out.append((taken, who if taken else None, odd if taken else None))
+        return out
+
+
+def _count(token: str) -> int:
+    return sum(1 for w in _HESITATION.sub(" ", token).split() if _WORD.search(w))
+
+
+_counts = _Memo(_count)
+
+
+def _words(text: str) -> int:
+    """Words of a text without hesitation sounds, which never reach over white space."""
+    return sum(map(_counts.__getitem__, text.split()))
+
+
+_BRACKET = re.compile(r"[\[<({*]")
+#: Beside the start of a text, a label may stand on a new line or after a sentence.
+_END = re.compile(r"[.?!…\n:—][”\")]?[ \t]*")
+_is_mark = _Memo(lambda label: len(label) < 30 and plain(label).strip(".") in _MARKS)
+
+
+def _labels(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """``start, end, form, label`` of what may be labels."""
+    end, size = 0, len(text)
+    for at in [size - len(text.lstrip(" \t")), *(s.end() for s in _END.finditer(text))]:
+        if at < end or at >= size:
+            continue
+        c = text[at]
+        if c not in "<*[>" and (not c.isalpha() or c.islower() and text[at + 1 : at + 2] != "."):
+            continue
+        m = _LABEL.match(text, at)
+        if not m:
+            continue
+        end = m.end()
         kind = m.lastgroup if m.lastgroup != "e" else "n"
         label = m.group(kind)
-        if not _starts(text, m.start()):
-            continue
-        who, strange, titled = roster.label(label)
+        form = "a"
         if kind == "n":
-            end = m.group("e")
-            mark = len(label) < 30 and plain(label).strip(".") in _MARKS
-            if end == "." and not (mark or titled and who and (label.isupper() or len(label.split()) > 1)):
-                continue
-            if end == "—" and not (who and re.search(r"\b[^\W\d_]\.", label) and not mark):
-                continue
-            if end == ":" and who is None and not (strange and (titled or label.isupper() and len(label) > 3)):
+            mark = _is_mark[label]
+            form = kind + m.group("e")
+            if form == "n." and mark:
+                if len(label) > 1 and not label.isupper() and at:
+                    continue
+                form = "a"
+            elif form == "n." and not _readings[label][2]:
                 continue
-            if mark and end == "." and len(label) > 1 and not label.isupper() and m.start():
+            elif form == "n—" and (mark or not re.search(r"\b[^\W\d_]\.", label)):
                 continue
-        elif kind == "k":
-            if who is None or who == "question" and plain(label) not in _ASKS:
-                continue
-        elif kind == "p" and who is None and not strange:
-            continue
-        out.append((speaker, odd, text[at : m.start()]))
-        speaker, odd, at = who, strange, m.end()
-    out.append((speaker, odd, text[at:]))
-    return [(s, o, sum(1 for w in _HESITATION.sub(" ", t).split() if _WORD.search(w))) for s, o, t in out]
+        elif kind in "kp":
+            form = kind
+        yield at, end, form, label
+
+
+def read_segment(text: str | None) -> list[tuple[str | None, str | None, int, int]]:
+    """``(form, label, words, words of the label)`` of a segment's stretches; the first has no label.
+
+    Forms: ``n.``, ``n:``, ``n—``, ``k`` (in brackets) and ``p`` (with a note) are labels only if
+    they name somebody; ``a`` is one in any case.
+    """
+    text = text or ""
+    if _BRACKET.search(text):
+        text = _NOTE.sub(" ", _TIME.sub(" ", text))
+    found = list(_labels(text))
+    ends = [a for a, _, _, _ in found[1:]] + [len(text)]
+    out: list[tuple[str | None, str | None, int, int]] = [(None, None, _words(text[: found[0][0]] if found else text), 0)]
+    for (start, end, form, label), stop in zip(found, ends):
+        own = _words(text[start:end])
+        if start and not text[start - 1].isspace() or end < len(text) and not text[end].isspace():
+            # a token reaches over an end of the label: count it once where the label is none
+            left, right = start - len(text[:start].split()[-1]) if start and not text[start - 1].isspace() else start, end
+            while right < len(text) and not text[right].isspace():
+                right += 1
+            own = _words(text[left:right]) - _words(text[left:start]) - _words(text[end:right])
+        out.append((form, label, _words(text[end:stop]), own))
+    return out
+
+
+def stretches(text: str | None, speaker_name: str | None, roster: Roster) -> list[tuple[str | None, str | None, int]]:
+    """``(speaker, odd name, words)`` of the stretches of a segment; (None, None, _) goes on with the last speaker."""
+    rows = read_segment(text)
+    if speaker_name and speaker_name.strip():
+        rows[0] = ("s", speaker_name, *rows[0][2:])
+    meant = dict(zip(keys := [(label, form) for form, label, _, _ in rows if label is not None], roster.resolve(keys)))
+    out: list[tuple[str | None, str | None, int]] = []
+    for form, label, n, own in rows:
+        taken, speaker, odd = meant.get((label, form), (True, None, None))
+        if taken:
+            out.append((speaker, odd, n))
+        else:
+            out[-1] = (*out[-1][:2], out[-1][2] + own + n)
+    return out
 
 
 def assign(costs: list[list[float]]) -> list[int]:
@@ -240,73 +344,94 @@ def place_odd(odd: list[str], elsewhere: list[str | None], people: list[str], na
     return [free[j] if j < len(free) else (other or name) for j, name, other in zip(assign(costs), odd, elsewhere)]
 
 
-_PEOPLE = "array<struct<seq:int,family:string,given:string,role:string>>"
+_PARTS = "document_id long, segment_index int, part int, form string, label string, n_words int, own_words int"
+_SEP = "\x1f"
 
 
-def _rosters(headers: DataFrame) -> DataFrame:
-    """``document_id, people``: a bounded list, as headers are single lines."""
+def _parts(once: DataFrame) -> DataFrame:
+    """Stretches of the segments, and the persons of headers (form ``h``)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, i, k, *p) for d, i, t in zip(b["document_id"], b["segment_index"], b["text"]) for k, p in enumerate(read_header(t))]
-            yield pd.DataFrame(rows, columns=["document_id", "index", "seq", "family", "given", "role"])
+            rows = []
+            for d, i, name, kind, text in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == "header":
+                    rows += [(d, i, k, "h", _SEP.join(p), 0, 0) for k, p in enumerate(read_header(text))]
+                else:
+                    each = read_segment(text)
+                    if name and name.strip():
+                        each[0] = ("s", name, *each[0][2:])
+                    rows += [(d, i, k, *part) for k, part in enumerate(each)]
+            columns = list(zip(*rows)) if rows else [()] * 7
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["document_id", "segment_index", "part", "form", "label", "n_words", "own_words"])
+
+    return once.select("document_id", "segment_index", "speaker_name", "segment_type", "text").mapInArrow(run, _PARTS)
 
-    named = headers.filter("text is not null").select("document_id", "segment_index", "text").mapInPandas(run, "document_id long, index int, seq int, family string, given string, role string")
-    return named.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.expr("index * 1000 + seq").alias("seq"), "family", "given", "role"))).alias("people"))
+
+def _persons(people: list | None) -> list[tuple[str, str, str]]:
+    return [tuple(p.split(_SEP)) for p in people] if people is not None else []
 
 
 def speaker_turns(segments: DataFrame) -> DataFrame:
     """``document_id, turn_no, speaker, n_words`` of ``document_id, segment_index, speaker_name, segment_type, text`` (and ``created_at, id`` where present)."""
+    spark = segments.sparkSession
     order = [F.col(c) for c in ("created_at", "id") if c in segments.columns] or [F.lit(0)]
     row = F.struct(*order, "speaker_name", "segment_type", "text")
+    # few bytes but much work each: as many tasks as there are cores at least
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     once = (
         segments.filter("document_id is not null and segment_index is not null")
         .select(F.col("document_id").cast("long").alias("document_id"), F.col("segment_index").cast("int").alias("segment_index"), row.alias("row"))
+        .repartition(tasks, "document_id", "segment_index")
         .groupBy("document_id", "segment_index").agg(F.min("row").alias("row"))
         .select("document_id", "segment_index", "row.speaker_name", "row.segment_type", "row.text")
+        .filter("segment_type is null or segment_type <> 'footer'")
     )
-    once = materialize(once, "segments")
-    # as one string too: it crosses to Python with every segment, lists of structs would cost more than the work there
-    line = F.array_join(F.transform("people", lambda p: F.concat_ws("\x1f", p["family"], p["given"], p["role"])), "\x1e")
-    rosters = materialize(_rosters(once.filter("segment_type = 'header'")).withColumn("line", line), "rosters")
-    spoken = once.filter("segment_type is null or segment_type not in ('header', 'footer')")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, Roster] = {}  # segments of a document need not stand together
+    parts = materialize(_parts(once), "parts")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("segment_index", "part", "label"))), lambda p: p["label"])
+    rosters = parts.filter("form = 'h'").groupBy("document_id").agg(in_order.alias("people"))
+    asked = parts.filter("form <> 'h' and label is not null").groupBy("document_id").agg(F.collect_set(F.struct("label", "form")).alias("asked"))
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, i, name, text, roster in zip(b["document_id"], b["segment_index"], b["speaker_name"], b["text"], b["line"]):
-                if d not in kept:
-                    if len(kept) >= 4000:
-                        kept.clear()
-                    kept[d] = Roster([tuple(p.split("\x1f")) for p in roster.split("\x1e")] if roster else [])
-                rows += [(d, i, k, *s) for k, s in enumerate(stretches(text, name, kept[d]))]
-            yield pd.DataFrame(rows, columns=["document_id", "segment_index", "part", "speaker", "odd", "n_words"])
-
-    parts = spoken.join(rosters, "document_id", "left").select("document_id", "segment_index", "speaker_name", "text", "line").mapInPandas(
-        read, "document_id long, segment_index int, part int, speaker string, odd string, n_words int"
-    )
-    parts = materialize(parts, "stretches")
+            for d, asked, people in zip(b["document_id"], b["asked"], b["people"]):
+                labels = sorted((a["label"], a["form"]) for a in asked)
+                rows += [(d, *one, *found) for one, found in zip(labels, Roster(_persons(people)).resolve(labels))]
+            yield pd.DataFrame(rows, columns=["document_id", "label", "form", "taken", "speaker", "odd"])
+
+    met = asked.join(rosters, "document_id", "left").select("document_id", "asked", "people")
+    labels = materialize(met.mapInPandas(resolve, "document_id long, label string, form string, taken boolean, speaker string, odd string"), "labels")
     # odd names, by sound, against the rosters of all transcripts
-    odd = parts.filter("speaker is null and odd is not null").select("document_id", "odd").distinct()
+    odd = labels.filter("speaker is null and odd is not null").select("document_id", "odd").distinct()
     by_sound = F.pandas_udf(lambda s: s.map(lambda x: sound(plain(x))), "string")
-    spelled = rosters.select(F.explode("people.family").alias("family")).groupBy("family").count()
+    spelled = parts.filter("form = 'h'").select(F.split("label", _SEP)[0].alias("family")).groupBy("family").count()
     known = spelled.withColumn("sound", by_sound("family")).groupBy("sound").agg(F.max_by("family", F.struct("count", "family")).alias("elsewhere"))
-    met = odd.withColumn("sound", by_sound("odd")).join(known, "sound", "left")
-    named = parts.filter("speaker is not null").groupBy("document_id").agg(F.collect_set("speaker").alias("named"))
-    cases = met.groupBy("document_id").agg(F.collect_list(F.struct("odd", "elsewhere")).alias("odd")).join(rosters, "document_id", "left").join(named, "document_id", "left")
+    unmet = odd.withColumn("sound", by_sound("odd")).join(known, "sound", "left")
+    named = labels.filter("speaker is not null").groupBy("document_id").agg(F.collect_set("speaker").alias("named"))
+    cases = unmet.groupBy("document_id").agg(F.collect_list(F.struct("odd", "elsewhere")).alias("odd")).join(rosters, "document_id", "left").join(named, "document_id", "left")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for d, odds, people, own in zip(b["document_id"], b["odd"], b["people"], b["named"]):
-                names = [o["odd"] for o in odds]
-                who = place_odd(names, [o["elsewhere"] for o in odds], [p["family"] for p in people] if people is not None else [], list(own) if own is not None else [])
+                odds = sorted(((o["odd"], o["elsewhere"]) for o in odds), key=lambda o: o[0])
+                names = [o for o, _ in odds]
+                who = place_odd(names, [e for _, e in odds], [p[0] for p in _persons(people)], list(own) if own is not None else [])
                 rows += [(d, o, w) for o, w in zip(names, who)]
             yield pd.DataFrame(rows, columns=["document_id", "odd", "placed"])
 
     placed = cases.select("document_id", "odd", "people", "named").mapInPandas(place, "document_id long, odd string, placed string")
-    told = parts.join(placed, ["document_id", "odd"], "left").select("document_id", "segment_index", "part", F.coalesce("speaker", "placed").alias("said"), "n_words")
+    # one row a document, so that the join and the windows after it share one shuffle
+    entry = F.struct(F.concat_ws(_SEP, "form", "label"), F.struct("taken", F.coalesce("speaker", "placed").alias("speaker")))
+    meant = labels.join(placed, ["document_id", "odd"], "left").groupBy("document_id").agg(F.map_from_entries(F.collect_list(entry)).alias("meant"))
+    found = F.when(F.col("label").isNotNull(), F.col("meant")[F.concat_ws(_SEP, "form", "label")])
+    none = F.col("label").isNotNull() & ~F.col("found.taken")
+    told = (
+        parts.filter("form is null or form <> 'h'").join(meant, "document_id", "left").withColumn("found", found)
+        .select("document_id", "segment_index", "part", F.col("found.speaker").alias("said"), F.when(none, F.col("n_words") + F.col("own_words")).otherwise(F.col("n_words")).alias("n_words"))
+    )
     by_place = Window.partitionBy("document_id").orderBy("segment_index", "part")
     going_on = by_place.rowsBetween(Window.unboundedPreceding, 0)
     spoke = told.withColumn("speaker", F.last("said", ignorenulls=True).over(going_on)).filter("n_words > 0")
