@@ -103,6 +103,36 @@ WITH w AS (
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c * 100 >= 70 * (x.n + y.n - c)
+""",
+        "p4_groups": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(normalized_text), '[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+'), lambda x: x <> '') AS t
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS run
+  FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3)) AS i FROM w WHERE len(t) >= 5)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL
+), p AS (SELECT a, b, c = x.n AND c = y.n AS same FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 100 >= 80 * (x.n + y.n - c)
+), e AS (SELECT a, b, same FROM p UNION ALL SELECT b, a, same FROM p
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM e WHERE e.a = doc_id AND same), doc_id)) AS class_id,
+  (SELECT min(b) FROM reach WHERE reach.a = doc_id) AS group_id, (SELECT count(*) FROM e WHERE e.a = doc_id) AS n_links
+FROM n
+""",
+        "p5_sequences": f"""
+WITH {_FORMS}, lines AS (
+  SELECT doc_id, source, line_no, form, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq FROM forms WHERE form <> ''
+), kept AS (
+  SELECT doc_id, source, form, seq, CASE WHEN seq - lag(seq) OVER (PARTITION BY doc_id ORDER BY seq) <= 2 THEN 0 ELSE 1 END AS apart FROM lines JOIN frequent USING (source, form)
+), blocks AS (
+  SELECT source, doc_id, list(form ORDER BY seq) AS l
+  FROM (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY seq) AS block FROM kept) GROUP BY source, doc_id, block
+), spans AS (
+  SELECT source, doc_id, l[i:j] AS s FROM (SELECT *, unnest(range(i, len(l) + 1)) AS j FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM blocks))
+)
+SELECT source, CAST(len(s) AS INTEGER) AS n_lines, array_to_string(s, ' / ') AS lines, count(DISTINCT doc_id) AS docs FROM spans
+GROUP BY source, s HAVING docs >= 5 AND docs * 100 >= 5 * (SELECT count(*) FROM documents d WHERE d.source = spans.source)
 """,
         "p5_found": f"""
 WITH {_FORMS}

@@ -124,3 +124,49 @@ def test_sequences_of_any_length(spark):
     df = spark.createDataFrame(docs, "doc_id long, source string, normalized_text string")
     got = {tuple(r.lines): r.docs for r in repeated_lines.frequent_sequences(df).collect()}
     assert got == {tuple(block[a:b]): 6 for a in range(11) for b in range(a + 1, 12)}
+
+
+def sequences_by_hand(docs, gap):
+    """Frequent sequences and the lines of their occurrences, by brute force."""
+    total, seen = Counter(s for _, s, _ in docs if s), defaultdict(set)
+    for k, (_, s, t) in enumerate(docs):
+        for x in (t or "").split("\n"):
+            if s and form(x):
+                seen[s, (form(x),)].add(k)
+    good = lambda s, ids: len(ids) >= 5 and len(ids) * 100 >= 5 * total[s]
+    single = {x for x, ids in seen.items() if good(x[0], ids)}
+    spans, lines = defaultdict(set), set()
+    for k, (_, s, t) in enumerate(docs):
+        kept = [(n, x) for n, x in enumerate(form(x) for x in (t or "").split("\n")) if x]
+        kept = [(i, n, x) for i, (n, x) in enumerate(kept) if (s, (x,)) in single]
+        for a in range(len(kept)):
+            for b in range(a, len(kept)):
+                if b > a and kept[b][0] - kept[b - 1][0] > gap + 1:
+                    break
+                spans[s, tuple(x for _, _, x in kept[a : b + 1])].add((k, *(n for _, n, _ in kept[a : b + 1])))
+    frequent = {}
+    for (s, x), at in spans.items():
+        if good(s, ids := {o[0] for o in at}):
+            frequent[s, x] = len(ids)
+            lines |= {(docs[o[0]][0], n) for o in at for n in o[1:]}
+    return frequent, lines
+
+
+@pytest.mark.parametrize("gap", [0, 1])
+def test_sequences_with_gaps(spark, gap):
+    rng = random.Random(gap)
+    docs = [(i, rng.choice("AAB") if i % 17 else None, "\n".join(rng.choice(["Share this", "", "Page 7", "© 2020", f"own {chr(97 + i % 26)} {chr(97 + i // 26)} {j * 'x'}"]) for j in range(12))) for i in range(60)]
+    docs.append((60, "A", "a\nb\n\nPage 1\nPage 2\nPage 3"))
+    df = spark.createDataFrame(docs, "doc_id long, source string, normalized_text string").repartition(3)
+    frequent, lines = sequences_by_hand(docs, gap)
+    got = {(r.source, tuple(r.lines)): r.docs for r in repeated_lines.frequent_sequences(df, gap=gap).collect()}
+    assert got == frequent and max(len(x) for _, x in got) >= 3
+    found = [(r.doc_id, r.line_no) for r in repeated_lines.find_repeated_lines(df, gap=gap).collect()]
+    assert set(found) == lines and len(found) == len(lines)
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rows = [(1, "A", "same line\nother\nlast")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, source string, normalized_text string")
+    assert sorted((r.doc_id, r.line_no) for r in repeated_lines.find_repeated_lines(df).collect()) == [(1, n) for n in range(3) for _ in range(5)]
+    assert {tuple(r.lines): r.docs for r in repeated_lines.frequent_sequences(df).collect()}[("same line", "other", "last")] == 5
