@@ -1,7 +1,8 @@
 """Splitting of long texts at natural boundaries by pointer doubling.
 
 A text's tokens give its legal boundaries: ends of paragraphs, of sentences and
-of words, and, for unbroken runs only, ends of tokens that end a character.
+of words, and, within words that may reach beyond a piece's room or have more than
+:data:`LONG_WORD` tokens, ends of tokens that end a character.
 Every boundary is joined to its farthest legal successor: the piece that starts
 ``overlap`` tokens before the boundary may hold ``limit`` tokens and ends at
 the best boundary in reach. The successor tables of all texts of a batch form
@@ -13,6 +14,8 @@ at most ``limit`` tokens of the text's own encoding; the overlap is exact,
 save where it would split a character (then up to three tokens more). A paragraph end is taken
 if it fills the piece by at least half, else a sentence end, else a word end;
 failing these any such end in that order, and a token end only if there is none.
+An overlap within :data:`LEAST_ROOM` tokens of the limit is refused (a character may have four
+tokens and the overlap three more), so every boundary has a successor.
 Null, empty and short texts give no rows. Rows are independent, so repeated rows give
 repeated pieces and no text is gathered with another.
 """
@@ -35,6 +38,10 @@ _PARAGRAPH = re.compile(rb"[^\s](?=[^\S\n]*\n[^\S\n]*\n)")
 #: Full stop, question and exclamation mark with closing quotes before white space, or their East Asian forms.
 _SENTENCE = re.compile(rb"[.!?](?:[\"')\]]|\xe2\x80[\x99\x9d])*(?=\s)|\xe3\x80\x82|\xef\xbc[\x81\x9f]")
 KINDS = ("paragraph", "sentence", "word", "token")
+#: Words of more tokens may be cut inside.
+LONG_WORD = 8
+#: What the limit must leave beside the overlap: the tokens of a character and of the part of one the overlap may take in.
+LEAST_ROOM = 7
 
 
 def successors(n: int, ends: np.ndarray, starts: np.ndarray, kinds: list[np.ndarray], limit: int, least: int) -> np.ndarray:
@@ -57,6 +64,8 @@ def successors(n: int, ends: np.ndarray, starts: np.ndarray, kinds: list[np.ndar
     last = len(ends) - 1
     best[starts + limit >= n] = last
     best[last] = last
+    if (best < 0).any():
+        raise ValueError("a boundary has no successor within the limit")
     return best
 
 
@@ -75,7 +84,8 @@ def cuts(successor: np.ndarray, roots: np.ndarray) -> np.ndarray:
 class Boundaries:
     """Where a text may be cut: token positions ``ends`` with their kinds, and the byte position of every token."""
 
-    def __init__(self, text: str, ids: np.ndarray, word_sizes: np.ndarray, byte_length: np.ndarray):
+    def __init__(self, text: str, ids: np.ndarray, word_sizes: np.ndarray, byte_length: np.ndarray, room: int):
+        """``room``: the least number of tokens a piece may reach beyond the boundary before it."""
         n = len(ids)
         self.raw = text.encode("utf-8", "replace")
         buffer = np.frombuffer(self.raw + b" ", dtype=np.uint8)
@@ -86,7 +96,7 @@ class Boundaries:
         word_ends = np.cumsum(word_sizes)
         legal[0] = legal[n] = True
         legal[word_ends] = True
-        for k in np.nonzero(word_sizes > 8)[0]:  # a token end is only of use where no word ends within reach
+        for k in np.nonzero(word_sizes > min(LONG_WORD, room))[0]:
             legal[word_ends[k] - word_sizes[k] : word_ends[k]] = True
         self.ends = np.nonzero(legal & whole)[0]
         places = self.at_byte[self.ends]
@@ -102,6 +112,38 @@ class Boundaries:
             self.kind[self.kinds[code]] = code
 
 
+def split_texts(replay: MergeReplay, texts: list[str | None], limits: dict[int, tuple[int, int]]) -> Iterator[tuple]:
+    """``spec_id, row, piece_no, start_byte, end_byte, n_tokens, cut_at, text`` of the pieces of some texts."""
+    smallest = min(limit for limit, _ in limits.values())
+    room = min(limit - overlap for limit, overlap in limits.values()) - 3
+    words = [split_words(t) if t else [] for t in texts]
+    known = replay.learn(words)
+    long = []
+    for row, w in enumerate(words):
+        each = list(map(known.__getitem__, w))
+        ids = np.fromiter(chain.from_iterable(each), dtype=np.int32)
+        if len(ids) > smallest:
+            long.append((row, len(ids), Boundaries(texts[row], ids, np.fromiter(map(len, each), dtype=np.int64, count=len(each)), replay.byte_length, room)))
+    for spec, (limit, overlap) in limits.items():
+        tables, parts, base = [], [], 0
+        for row, n, b in long:
+            if n <= limit:
+                continue
+            starts = b.whole_at[np.maximum(b.ends - overlap, 0)]
+            tables.append(successors(n, b.ends, starts, b.kinds, limit, limit // 2) + base)
+            parts.append((row, b, starts, base))
+            base += len(b.ends)
+        if not tables:
+            continue
+        reached = cuts(np.concatenate(tables), np.array([p[3] for p in parts]))
+        for row, b, starts, first in parts:
+            cut = np.nonzero(reached[first : first + len(b.ends)])[0]
+            token_from, token_to = starts[cut[:-1]], b.ends[cut[1:]]
+            places = zip(b.at_byte[token_from].tolist(), b.at_byte[token_to].tolist(), (token_to - token_from).tolist(), b.kind[cut[1:]].tolist())
+            for no, (x, y, size, kind) in enumerate(places):
+                yield spec, row, no, x, y, size, KINDS[kind] if y < b.at_byte[-1] else "end", b.raw[x:y].decode()
+
+
 def split_corpus(df: DataFrame, limits: dict[int, tuple[int, int]], id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = TOKENIZER_PATH) -> DataFrame:
     """Pieces of all texts above a limit.
 
@@ -110,7 +152,7 @@ def split_corpus(df: DataFrame, limits: dict[int, tuple[int, int]], id_col: str
     those of the UTF-8 form; ``cut_at`` is the kind of boundary the piece ends at.
     """
     for limit, overlap in limits.values():
-        if not 0 <= overlap < limit - 8:
+        if not 0 <= overlap <= limit - LEAST_ROOM:
             raise ValueError("the overlap must leave room in the limit")
     vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
     key = df.schema[id_col].dataType
@@ -119,42 +161,13 @@ def split_corpus(df: DataFrame, limits: dict[int, tuple[int, int]], id_col: str
         + [T.StructField(c, T.LongType()) for c in ("start_byte", "end_byte", "n_tokens")]
         + [T.StructField("cut_at", T.StringType()), T.StructField("text", T.StringType())]
     )
-    smallest = min(limit for limit, _ in limits.values())
-
-    def pieces(replay: MergeReplay, texts: list[str | None]) -> Iterator[tuple]:
-        words = [split_words(t) if t else [] for t in texts]
-        known = replay.learn(words)
-        long = []
-        for row, w in enumerate(words):
-            each = list(map(known.__getitem__, w))
-            ids = np.fromiter(chain.from_iterable(each), dtype=np.int32)
-            if len(ids) > smallest:
-                long.append((row, len(ids), Boundaries(texts[row], ids, np.fromiter(map(len, each), dtype=np.int64, count=len(each)), replay.byte_length)))
-        for spec, (limit, overlap) in limits.items():
-            tables, parts, base = [], [], 0
-            for row, n, b in long:
-                if n <= limit:
-                    continue
-                starts = b.whole_at[np.maximum(b.ends - overlap, 0)]
-                tables.append(successors(n, b.ends, starts, b.kinds, limit, limit // 2) + base)
-                parts.append((row, b, starts, base))
-                base += len(b.ends)
-            if not tables:
-                continue
-            reached = cuts(np.concatenate(tables), np.array([p[3] for p in parts]))
-            for row, b, starts, first in parts:
-                cut = np.nonzero(reached[first : first + len(b.ends)])[0]
-                token_from, token_to = starts[cut[:-1]], b.ends[cut[1:]]
-                places = zip(b.at_byte[token_from].tolist(), b.at_byte[token_to].tolist(), (token_to - token_from).tolist(), b.kind[cut[1:]].tolist())
-                for no, (x, y, size, kind) in enumerate(places):
-                    yield spec, row, no, x, y, size, KINDS[kind] if y < b.at_byte[-1] else "end", b.raw[x:y].decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = MergeReplay(vocabulary.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                rows = list(pieces(replay, texts[a:b]))
+                rows = list(split_texts(replay, texts[a:b], limits))
                 if not rows:
                     continue
                 spec, row, no, x, y, n, kind, text = zip(*rows)

@@ -126,6 +126,34 @@ def test_split(spark, replay):
     assert splitting.split_corpus(df.limit(0), limits).count() == 0
 
 
+PIECES = ["word ", "naïve café — ", "日本語のテキスト。", "😀é", "é ‍ 😀", "a" * 40, "z9" * 20, "\n\n", "One. Two! ", "\t \r\n", "Żółć ", "ถ้อยคำ", "½½½"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), min_size=1, max_size=60), st.text(max_size=30), st.integers(7, 40), st.data())
+def test_pieces_cover_the_text_within_limit_and_overlap(replay, parts, extra, limit, data):
+    overlap = data.draw(st.integers(0, limit - splitting.LEAST_ROOM))
+    text = "".join(parts) + extra
+    raw = text.encode("utf-8", "replace")
+    n = len(ids_of(replay, text))
+    pieces = list(splitting.split_texts(replay, [None, text, ""], {5: (limit, overlap), 6: (limit + 9, overlap)}))
+    for spec, most in ((5, limit), (6, limit + 9)):
+        own = [p for p in pieces if p[0] == spec]
+        assert bool(own) == (n > most) and all(p[1] == 1 for p in own)
+        if own:
+            assert own[0][3] == 0 and own[-1][4] == len(raw) and [p[2] for p in own] == list(range(len(own)))
+            assert all(0 < p[5] <= most and raw[p[3] : p[4]].decode() == p[7] for p in own)
+            at = np.concatenate([[0], np.cumsum(replay.byte_length[ids_of(replay, text)])])
+            token = {int(x): i for i, x in enumerate(at)}
+            for p, q in zip(own, own[1:]):
+                assert p[3] < q[3] <= p[4] < q[4] and overlap <= token[p[4]] - token[q[3]] <= overlap + 3 or q[3] == 0
+
+
+def test_an_overlap_without_room_is_refused(spark):
+    with pytest.raises(ValueError):
+        splitting.split_corpus(spark.createDataFrame([(1, "x")], "doc_id long, text string"), {1: (20, 14)})
+
+
 def test_doubling_equals_following():
     rng = np.random.default_rng(3)
     for _ in range(50):
