@@ -1,13 +1,21 @@
 """Byte-level BPE of a whole corpus by merge replay.
 
 A text is cut into words by the tokenizer's public pattern; only the distinct
-words of a stretch of the corpus are encoded. An inverted index maps each pair
+words of the corpus are encoded. An inverted index maps each pair
 of neighbouring symbols to the positions where it stands in those words. The
 merges are replayed in rank order; each takes the positions of its pair from
 the index and touches just the two neighbours of every position.
 
-The replay runs where the rows are: no shuffle, no driver state, only the
-vocabulary file (under a megabyte or two, fixed) goes to the executors.
+:func:`encode_corpus` reads every text once. Texts are coded by chunks: each word is a number in
+the chunk's own list of distinct words. The lists meet by word, so the words
+of the corpus are spread over the tasks and each is replayed once; their
+ids go back to the chunks, where numbers become ids by array operations. A
+chunk is bounded in characters (a longer text is a chunk of its own), so no word,
+however common, has more rows than there are chunks. Nothing but the
+vocabulary file (a megabyte or two, fixed) is broadcast.
+
+:func:`count_tokens`, for operators that need lengths only, replays the words of
+each chunk in place and shuffles nothing.
 
 Defined results: a null and an empty text have no ids; strings of special
 tokens are ordinary text; text is taken whole, whatever its length; a repeated
@@ -18,16 +26,20 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolex.plans.materialize import materialize
+
 #: Where the public tokenizers lie; pass another path to use other files.
 TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -40,6 +52,8 @@ _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Z
 CACHE_WORDS = 150_000
 #: Characters of text handled at once within a task.
 CHUNK_CHARS = 4_000_000
+#: Entries of chunks' word lists that are replayed at once within a task.
+REPLAY_ROWS = 200_000
 
 
 def split_words(text: str) -> list[str]:
@@ -165,25 +179,91 @@ def read_vocabulary(path: str = TOKENIZER_PATH) -> bytes:
         return f.read()
 
 
-def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = TOKENIZER_PATH) -> DataFrame:
-    """``id_col, ids``: the ids of every row's whole text; null and empty texts give an empty list."""
-    vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+def _coded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``chunk, id, codes`` of every row, and ``chunk, words`` once a chunk: a word's code is its place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = MergeReplay(vocabulary.value)
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                words = [split_words(t) if t else [] for t in texts[a:b]]
-                known = replay.learn(words)
-                ids = [list(chain.from_iterable(map(known.__getitem__, w))) for w in words]
-                offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id_col, "ids"])
+                code: dict[str, int] = defaultdict()
+                code.default_factory = code.__len__  # a new word takes the next number
+                each = [np.fromiter(map(code.__getitem__, split_words(t)), dtype=np.int32) if t else np.empty(0, dtype=np.int32) for t in texts[a:b]]
+                n = b - a
+                codes = pa.ListArray.from_arrays(pa.array(_offsets(map(len, each))), pa.array(np.concatenate(each)))
+                words = pa.array([None] * n, pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), batch.column(0).slice(a, n), codes, words], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.nulls(1, batch.column(0).type), pa.nulls(1, codes.type), pa.array([list(code)], words.type)], names=names)
+                chunk += 1
+
+    names = ["chunk", "id", "codes", "words"]
+    fields = [T.LongType(), df.schema[id_col].dataType, T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())]
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, fields)]))
+
+
+def _offsets(lengths: Iterable[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.fromiter(lengths, dtype=np.int64))]).astype(np.int32)
+
 
+def _ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` end to end."""
+    shift = starts - (np.cumsum(lengths) - lengths)
+    return flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
+
+
+def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = TOKENIZER_PATH) -> DataFrame:
+    """``id_col, ids``: the ids of every row's whole text; null and empty texts give an empty list."""
+    spark = df.sparkSession
+    vocabulary = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    # written once, so that the numbers of chunks and words hold for all that read on
+    coded = materialize(_coded(df, id_col, text_col), "coded-texts")
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known, last = MergeReplay(vocabulary.value), [()], None
+
+        def encoded(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            nonlocal known, last
+            t = pa.Table.from_batches(rows)
+            words = t.column("word").to_pylist()
+            new = np.fromiter((w != v for w, v in zip(words, chain([last], words))), dtype=bool, count=len(words))
+            fresh = [words[i] for i in np.nonzero(new)[0].tolist()]
+            known, last = known[-1:] + model.encode(fresh), words[-1]
+            flat, offsets = np.fromiter(chain.from_iterable(known), dtype=np.int32), _offsets(map(len, known))
+            which = np.cumsum(new)
+            lengths = np.diff(offsets)[which]
+            ids = pa.ListArray.from_arrays(pa.array(_offsets(lengths)), pa.array(_ragged(flat, offsets[which].astype(np.int64), lengths.astype(np.int64))))
+            columns = [t.column(c).combine_chunks() for c in ("chunk", "code")]
+            return pa.RecordBatch.from_arrays([*columns, ids], names=["chunk", "code", "ids"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= REPLAY_ROWS:
+                yield encoded(held)
+                held = []
+        if any(b.num_rows for b in held):
+            yield encoded(held)
+
+    # sorted, so that rows of one word come together and it is replayed once
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = coded.filter("words is not null").select("chunk", F.posexplode("words").alias("code", "word"))
+    lexicon = listed.repartition(tasks, "word").sortWithinPartitions("word").select("chunk", "code", "word").mapInArrow(replay, "chunk long, code int, ids array<int>")
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+
+    def decode(texts: pa.Table, words: pa.Table) -> pa.Table:
+        ids, order = words.column("ids").combine_chunks(), np.argsort(words.column("code").to_numpy())
+        offsets = ids.offsets.to_numpy().astype(np.int64)
+        flat, starts, lengths = ids.values.to_numpy(), offsets[:-1][order], np.diff(offsets)[order]
+        codes = texts.column("codes").combine_chunks()
+        which = codes.values.to_numpy()[codes.offsets[0].as_py() : codes.offsets[-1].as_py()]
+        ends = np.concatenate([[0], np.cumsum(lengths[which])])
+        at = ends[codes.offsets.to_numpy() - codes.offsets[0].as_py()].astype(np.int32)
+        out = pa.ListArray.from_arrays(pa.array(at), pa.array(_ragged(flat, starts[which], lengths[which]).astype(np.int32)))
+        return pa.Table.from_arrays([texts.column("id"), out], names=schema.names)
+
+    texts = coded.filter("words is null").select("chunk", "id", "codes")
+    return texts.groupBy("chunk").cogroup(lexicon.groupBy("chunk")).applyInArrow(decode, schema)
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = TOKENIZER_PATH) -> DataFrame:
