@@ -7,11 +7,12 @@ with the largest items that fit; then its smallest item is exchanged for the
 two unpacked items that fill the widened gap most tightly. A filling is used as
 often as the counts allow before the next is sought, so the plan has about as
 many entries as there are sizes, not as there are containers. Items then take
-their places by rank within their size; the ranks come from per-partition
-counts, so no size is gathered in one task.
+their places by rank within their size; the ranks come from the counts of parts
+(by hashed key), so no size is gathered in one task.
 
 Defined results: an item above the capacity is cut into full containers of its
-own and a rest that is packed like an item; an item of size 0 (null or empty
+own and a rest that is packed like an item; which of the items of one size
+goes where is decided by their keys, whatever the cluster; an item of size 0 (null or empty
 text) takes no container (``container_id`` null, piece 0); equal items are told
 apart by their rank; an empty table gives no rows.
 """
@@ -31,6 +32,10 @@ from chronolex.llm.bpe import TOKENIZER_PATH, count_tokens
 from chronolex.plans.materialize import materialize
 
 
+#: Parts that the items of one size are ranked in.
+PARTS = 1024
+
+
 @dataclass
 class Filling:
     """``times`` containers from number ``first`` on, each with the items ``sizes`` (size: how many)."""
@@ -124,10 +129,10 @@ def pack(sized: DataFrame, capacities: dict[int, int], id_col: str = "doc_id") -
         .select("k", "spec_id", F.explode("p").alias("piece_no"), "full", "rest", "cap")
         .select("k", "spec_id", F.col("piece_no").cast("int").alias("piece_no"), F.when(F.col("piece_no") < F.col("full"), F.col("cap")).otherwise(F.col("rest")).alias("n"))
     )
-    # Kept with the number of the partition, so that counts and ranks refer to the same rows in the same order.
-    kept = materialize(items.withColumn("part", F.spark_partition_id()), "pack-items")
+    # Ranks run within parts by key, so no size is gathered in one task and the place of an item depends on keys alone.
+    kept = materialize(items.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(PARTS)).cast("int")), "pack-items")
     counted = kept.filter("n > 0").groupBy("part", "spec_id", "n").count()
-    # The rank that each partition's first item of a size has: running sums over the partitions' counts.
+    # The rank that each part's first item of a size has: running sums over the parts' counts.
     by_size = "partition by spec_id, n order by part rows between unbounded preceding and 1 preceding"
     starts = counted.select("part", "spec_id", "n", F.expr(f"coalesce(sum(count) over ({by_size}), 0)").alias("start"))
     histogram: dict[int, dict[int, int]] = {}
