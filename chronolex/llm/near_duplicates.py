@@ -11,15 +11,16 @@ misses none of them (31 of 96 symbols by default). Pairs at the edge of the
 threshold whose signatures are farther apart than that still meet with high
 probability, for each of the 16 chunks is another chance: a pair at similarity
 0.7 is missed about once in 6,000, one at 0.76 once in a million. Pairs that
-meet must pass, inside the join, the distance of 128 bits of the signature
-(:data:`FARTHEST_BITS`), then the signature distance :data:`FARTHEST`, then the
+meet must pass, inside the join, the distance of one bit of every symbol
+(:data:`FARTHEST_BITS`; never more than that of the symbols, so no pair within the guarantee is
+stopped), then the signature distance :data:`FARTHEST`, then the
 exact similarity of their whole sets.
 
 Scale: texts with the same set are one class from the start, only its
-representative enters the join, and every index entry is four longs. A bucket holds texts
+representative enters the join, and every index entry is three longs and an int. A bucket holds texts
 that share five independent minima, so unrelated texts hardly ever meet (at
 similarity 0.05 about 3 pairs in 100,000), and of those that do about one in a
-thousand leaves the join; the planner splits skewed buckets.
+hundred leaves the join; the planner splits skewed buckets.
 Exact sets are made only for texts in a surviving pair.
 
 Defined results: words are white-space separated and lower-cased; null texts
@@ -45,8 +46,9 @@ from chronolex.plans.materialize import materialize
 CHUNKS, SYMBOLS, ERRORS = 16, 6, 1
 #: Largest signature distance that goes on to the exact check: 5 deviations beyond the mean at similarity 0.7.
 FARTHEST = 52
-#: The like for the 128 bits that index entries carry.
-FARTHEST_BITS = 42
+#: The like for the one bit a symbol that index entries carry: at least the guaranteed distance of symbols;
+#: of pairs 45 symbols apart, which similarity 0.7 makes once in 6,000, one in 1,000 is farther.
+FARTHEST_BITS = 33
 _N = CHUNKS * SYMBOLS
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLY = _rng.integers(0, 2**64, _N, dtype=np.uint64) | np.uint64(1)
@@ -115,10 +117,10 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def bits(signature: np.ndarray) -> np.ndarray:
-    """128 bits of each signature, as two longs: the low bit of every symbol and the next one of the last 32."""
-    low = np.concatenate([signature & 1, (signature[:, 64:] >> 1) & 1], axis=1).astype(np.uint8)
-    return np.packbits(low, axis=1).view(np.int64).reshape(-1, 2)
+def bits(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low bit of every symbol of each signature: a long of 64 and an int of 32."""
+    packed = np.packbits((signature & 1).astype(np.uint8), axis=1)
+    return packed[:, :8].copy().view(np.int64).ravel(), packed[:, 8:].copy().view(np.int32).ravel()
 
 
 def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -173,12 +175,12 @@ def _index(classes: DataFrame) -> DataFrame:
             sig = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int16).view(np.uint16).reshape(-1, _N)
             for a in range(0, len(sig), 1000):
                 keys = index_keys(sig[a : a + 1000])
-                some = np.repeat(bits(sig[a : a + 1000]), keys.shape[1], axis=0)
+                x, y = (np.repeat(part, keys.shape[1]) for part in bits(sig[a : a + 1000]))
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(a, a + len(keys)), keys.shape[1])))
-                columns = [pa.array(keys.reshape(-1).view(np.int64)), ids, pa.array(some[:, 0]), pa.array(some[:, 1])]
+                columns = [pa.array(keys.reshape(-1).view(np.int64)), ids, pa.array(x), pa.array(y)]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "x", "y"])
 
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", classes.schema["id"].dataType), T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", classes.schema["id"].dataType), T.StructField("x", T.LongType()), T.StructField("y", T.IntegerType())])
     return classes.select("id", "sig").mapInArrow(run, schema)
 
 
@@ -211,7 +213,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "norm
     classes = materialize(signed.join(members.filter("id = class_id").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "sig"), "classes")
     index = _index(classes)
     left, right = (index.select("key", F.col("id").alias(c), F.col("x").alias("x" + c), F.col("y").alias("y" + c)) for c in "ab")
-    near_bits = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb"))) <= FARTHEST_BITS
+    near_bits = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) <= FARTHEST_BITS
     met = left.join(right, "key").filter((F.col("a") < F.col("b")) & near_bits).select("a", "b").distinct()
     # distance of the signatures
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)

@@ -113,9 +113,11 @@ def test_bits_follow_the_symbols():
     a = rng.integers(0, 2**16, (1, 96), dtype=np.uint16)
     b = a.copy()
     b[0, :10] ^= np.uint16(1)
-    b[0, 90:] ^= np.uint16(3)
-    x, y = near_duplicates.bits(np.concatenate([a, b])).view(np.uint64)
-    assert sum(int(v).bit_count() for v in x ^ y) == 10 + 6 + 6
+    b[0, 80:] ^= np.uint16(2)
+    b[0, 90:] ^= np.uint16(1)
+    x, y = near_duplicates.bits(np.concatenate([a, b]))
+    assert int(np.uint64(x[0] ^ x[1])).bit_count() == 10 and int(np.uint32(y[0] ^ y[1])).bit_count() == 6
+    assert near_duplicates.FARTHEST_BITS >= (near_duplicates.ERRORS + 1) * near_duplicates.CHUNKS - 1
 
 
 def test_sequences_of_any_length(spark):
