@@ -4,9 +4,9 @@ Every spelling is parsed into a record (family name, given name, initials,
 titles; or an organisation's words). Registered records are resolved among themselves
 first: full names that match become one profile, which unions its members'
 spellings and initials. Then every other spelling is matched, in rounds: all
-records without a profile enter blocking with the profiles as they are,
-records that match exactly one profile merge into it, the richer profiles
-re-enter blocking, and the rounds end when nothing merges any more.
+records without a profile enter blocking with the profiles,
+records that match exactly one profile merge into it, the profiles they made richer
+re-enter blocking (what met the others is kept), and the rounds end when nothing merges any more.
 
 Blocking is by deletion neighbourhoods of phonetically reduced names (two
 spellings two edits apart share a key), so no two records are compared unless
@@ -50,7 +50,8 @@ SHORT = {
     "intl": "international", "assn": "association", "mkts": "markets", "rev": "review", "sec": "secretariat", "cncl": "council", "bd": "board", "ctr": "center",
 }
 _SMALL = {"of", "and", "for", "the", "on", "in", "at", "&"}
-#: English short forms of given names and what they stand for.
+#: English short forms of given names that are no beginnings of them, or of several, and what they stand for.
+#: General usage, not taken from any register; :func:`short_form` knows beginnings of three letters or more.
 NICKNAMES = {
     "abby": "abigail", "abbie": "abigail", "gail": "abigail", "al": "albert alan alexander alfred", "alex": "alexander alexandra", "sandy": "alexander alexandra", "andy": "andrew", "drew": "andrew", "tony": "anthony",
     "art": "arthur", "barb": "barbara", "ben": "benjamin", "benny": "benjamin", "beth": "elizabeth", "betsy": "elizabeth", "betty": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "eliza": "elizabeth", "lisa": "elizabeth",
@@ -68,7 +69,7 @@ NICKNAMES = {
     "annie": "anne ann", "nell": "eleanor helen", "nora": "eleanor honora", "ellie": "eleanor elizabeth", "lena": "helena magdalena", "jeff": "jeffrey geoffrey", "jon": "jonathan", "johnny": "john", "lou": "louis louise", "mandy": "amanda",
     "cindy": "cynthia", "ginny": "virginia", "hettie": "henrietta", "kim": "kimberly", "max": "maximilian maxwell", "nicky": "nicholas nicole", "ollie": "oliver olivia", "reggie": "reginald", "russ": "russell", "sid": "sidney",
     "stan": "stanley", "stu": "stuart", "terry": "terence theresa", "tess": "theresa", "val": "valerie valentine", "wes": "wesley", "jake": "jacob", "abe": "abraham", "gus": "augustus gustav", "hans": "johannes", "fritz": "friedrich",
-    "tori": "victoria", "walt": "walter", "wendy": "gwendolyn", "zach": "zachary", "lindi": "lindiwe", "pri": "priya",
+    "tori": "victoria", "walt": "walter", "wendy": "gwendolyn", "zach": "zachary",
 }
 
 
@@ -119,9 +120,9 @@ def apart(a: str, b: str, most: int) -> float:
 
 
 def deletions(word: str) -> set[str]:
-    """The word with up to two letters left out (one, for short words)."""
+    """The word with up to two letters left out (one, for words under six letters)."""
     out = {word}
-    for k in (1, 2) if len(word) >= 7 else (1,) if len(word) >= 4 else ():
+    for k in (1, 2) if len(word) >= 6 else (1,) if len(word) >= 4 else ():
         out |= {"".join(c for i, c in enumerate(word) if i not in gone) for gone in combinations(range(len(word)), k)}
     return out
 
@@ -141,9 +142,11 @@ def parse(name: str | None, title: str | None = None) -> dict | None:
     joined = re.sub(r"[.\s]", "", text)
     tokens = [re.sub(r"[^a-z'-]", "", plain(t)) for t in text.replace(",", " ").split()]
     words = [SHORT.get(t, t) for t in tokens if t and t not in _SMALL]
-    if re.fullmatch(r"(?:[A-Z]\.?){2,6}", joined + ("." if text.endswith(".") else "")) and " " not in text and joined.isupper() and len(joined) <= 6:
+    if " " not in text and re.fullmatch(r"[A-Z]{2,}", joined):
+        # with full stops an acronym; without, it may be a family name in capitals as well
         record["letters"] = joined.lower()
-        return record
+        if "." in text:
+            return record
     if len(words) >= 2 and not re.search(r"\b[A-Z]\b", text):
         record["words"] = " ".join(words)
     if record["titles"] == "institution" or len(ORG_WORDS.intersection(words)) >= 1 and len(words) >= 2:
@@ -179,7 +182,7 @@ def parse(name: str | None, title: str | None = None) -> dict | None:
             initials += plain(t)[:1]
     record["family"] = re.sub(r"[^a-z'-]", "", plain("".join(family)))
     record["given"], record["initials"], record["titles"] = given, (given[:1] + initials if given else initials), " ".join(titles)
-    return record if record["family"] or record["words"] else None
+    return record if record["family"] or record["words"] or record["letters"] else None
 
 
 def keys(record: dict) -> list[int]:
@@ -196,10 +199,17 @@ def keys(record: dict) -> list[int]:
     return [xxhash.xxh3_64_intdigest(k) - 2**63 for k in sorted(out)]
 
 
+def short_form(a: str, b: str) -> bool:
+    """Whether one given name is a beginning of the other."""
+    return min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a))
+
+
 def _given(a: str, b: str) -> float:
     """How far two given names are apart; 9: not the same."""
     if a == b:
         return 0
+    if short_form(a, b):
+        return 0.5
     if b in NICKNAMES.get(a, "").split() or a in NICKNAMES.get(b, "").split() or set(NICKNAMES.get(a, "-").split()) & set(NICKNAMES.get(b, "+").split()):
         return 0.25
     most = 2 if min(len(a), len(b)) >= 6 else 1
@@ -213,10 +223,12 @@ def score(r: dict, p: dict) -> tuple[int, float] | None:
     Tier 0: a full name; 1: initials and family name; 2: family name alone. A
     profile has lists of the fields; its first ``own`` families and words are
     registered spellings, the others were merged in and must be met more closely.
+    Two edits are allowed between names of seven letters or more, one between shorter ones
+    (a like sound counts half an edit): two edits in six letters make another name.
     """
     best: tuple[int, float] | None = None
-    if r["letters"]:
-        return (1, 0.0) if r["letters"] in p["letters"] else None
+    if r["letters"] and r["letters"] in p["letters"]:
+        return 1, 0.0
     if r["words"] and p["words"]:
         mine = "".join(sorted(r["words"].split()))
         straight = r["words"].replace(" ", "")
@@ -265,6 +277,11 @@ _FIELDS = ("family", "given", "initials", "titles", "words", "letters")
 _RECORD = "rid string, sid long, family string, given string, initials string, titles string, words string, letters string, keys array<long>"
 
 
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _parse_all(df: DataFrame) -> DataFrame:
     """Records of ``rid, sid, name, title, role``; ``titles`` gets the register's title too."""
 
@@ -279,7 +296,8 @@ def _parse_all(df: DataFrame) -> DataFrame:
                     rows.append([rid, sid, *(r[f] for f in _FIELDS), keys(r)])
             yield pd.DataFrame(rows, columns=["rid", "sid", *_FIELDS, "keys"])
 
-    return df.select("rid", "sid", "name", "title").mapInPandas(run, _RECORD)
+    # few bytes but much work each: keep the planner from putting all names in one task
+    return df.select("rid", "sid", "name", "title").repartition(_tasks(df), "rid").mapInPandas(run, _RECORD)
 
 
 def _profiles(members: DataFrame) -> DataFrame:
@@ -321,10 +339,7 @@ def _fits(records: DataFrame, profiles: DataFrame) -> DataFrame:
                     rows.append((x.rid, x.pid, s[0], s[1]))
             yield pd.DataFrame(rows, columns=["rid", "pid", "tier", "d"])
 
-    # few bytes but much work each: keep the planner from putting all pairs in one task
-    spark = records.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return paired.repartition(tasks, "rid").mapInPandas(run, "rid string, pid long, tier int, d double")
+    return paired.repartition(_tasks(records), "rid").mapInPandas(run, "rid string, pid long, tier int, d double")
 
 
 def _sole(fits: DataFrame) -> DataFrame:
@@ -366,15 +381,20 @@ def resolve_names(names: DataFrame, register: DataFrame, name_col: str = "speake
     open_ = _parse_all(spellings.select(F.concat(F.lit("n"), F.col("name")).alias("rid"), F.lit(None).cast("long").alias("sid"), "name", F.lit(None).cast("string").alias("title")))
     open_ = materialize(open_, "spellings")
     found = []
+    fits = materialize(_fits(open_, _profiles(members)), "fits")
     while True:
-        sole = materialize(_sole(_fits(open_, _profiles(members))), "merged")
+        sole = materialize(_sole(fits), "merged")
         if sole.isEmpty():
             break
         found.append(sole)
         merged = open_.join(sole, "rid").select("pid", *open_.columns)
-        # only full names enrich a profile's spellings; others would add what it has
-        members = materialize(members.unionByName(merged.filter("given <> '' or words <> ''")), "profile-members")
+        members = materialize(members.unionByName(merged), "profile-members")
         open_ = materialize(open_.join(sole, "rid", "left_anti"), "spellings")
+        richer = sole.select("pid").distinct()
+        # only the profiles that merged something are met anew
+        kept = fits.join(sole, "rid", "left_anti").join(richer, "pid", "left_anti")
+        again = _fits(open_, _profiles(members.join(richer, "pid", "left_semi")))
+        fits = materialize(kept.unionByName(again.select(*kept.columns)), "fits")
     if not found:
         return members.limit(0).select(F.col("rid").alias(name_col), F.col("pid").alias("speaker_id"))
     out = found[0]
