@@ -7,12 +7,12 @@ lines, strongest between lines of one wrapped paragraph, and lines whose page
 elements look alike (same tag and class) one after another. The maximum flow
 separates furniture from main body with the least total cost.
 
-The classifier is a logistic regression trained on lines of at most
-:data:`SAMPLE_PAGES` pages (those with the least hashed ids), labelled by their
+The classifier is a logistic regression trained on lines of a bounded sample of
+pages (:data:`SAMPLE_PAGES`, :data:`SAMPLE_CHARS`; those with the least hashed ids), labelled by their
 markup alone: the kind of element that holds most of the page's text, kinds with
 long texts, and headings are body; link lists, asides and kinds of short texts
 are furniture. Words thereby carry over what markup tells on some pages to texts without any.
-Nothing else is sampled; every line of every document is labelled.
+Nothing else is sampled; every line of every document is labelled, by all of its words.
 
 Pages are joined to documents by key; a document is labelled by itself in one
 row of work, so no page meets another.
@@ -34,11 +34,13 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most pages the classifier is fitted on.
-SAMPLE_PAGES = 2000
+#: Most pages the classifier is fitted on, and most characters of them together (longer pages are left out of the sample).
+SAMPLE_PAGES, SAMPLE_CHARS = 2000, 64_000_000
+#: Of the sample's paragraphs every so many is also taken in the form that texts with hard line ends have, up to so many lines.
+WRAP_EVERY, WRAP_LINES = 3, 6
 #: Log-odds of the markup: kind of element against furniture.
 MARKUP = {"list": 2.0, "short": 1.5, "long": -1.0, "heading": -1.5, "": 0.0}
 #: Weights of smoothness edges.
@@ -127,34 +129,30 @@ def block_roles(blocks: list[Block]) -> list[str]:
     return out
 
 
+#: Tokens at the ends of a line whose order counts.
+HEAD, TAIL = 14, 6
 _TOKENS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]")
 
 
 def features(line: str) -> list[str]:
-    """Words, word pairs and form of a line; for long lines the words at both ends."""
+    """Words, word pairs and form of a line; of a long one those at both ends, and apart from them the words between, once each."""
     tokens = _TOKENS.findall(line)
-    n = len(tokens)
-    tokens = tokens if n <= 24 else tokens[:14] + tokens[-6:]
+    between = {t.lower() for t in tokens[HEAD:-TAIL] if not t[0].isdigit()} if len(tokens) > HEAD + TAIL + 4 else set()
+    tokens = tokens[:HEAD] + tokens[-TAIL:] if between else tokens
     words = ["0" if t[0].isdigit() else t.lower() for t in tokens]
-    letters = [c for c in line if c.isalpha()]
-    upper = bool(letters) and sum(map(str.isupper, letters)) > 0.7 * len(letters)
+    upper = sum(map(str.isupper, line)) > 0.7 * max(sum(map(str.isalpha, line)), 1)
     # in pairs a capitalised word stands for any name
     shapes = words if upper else words[:1] + ["Name" if t[0].isupper() else w for t, w in zip(tokens[1:], words[1:])]
-    out = ["w:" + w for w in shapes]
-    out += [f"p:{a} {b}" for a, b in zip(shapes, shapes[1:])]
+    out = ["w:" + w for w in shapes] + [f"p:{a} {b}" for a, b in zip(shapes, shapes[1:])]
     if words:
-        out.append("first:" + words[0])
-        out.append("first2:" + " ".join(shapes[:2]))
-        out.append("first3:" + " ".join(shapes[:3]))
-        out.append("last:" + shapes[-1])
-        out.append("last2:" + " ".join(shapes[-2:]))
+        out += ["first:" + words[0], "first2:" + " ".join(shapes[:2]), "first3:" + " ".join(shapes[:3]), "last:" + shapes[-1], "last2:" + " ".join(shapes[-2:])]
+    out += ["in:" + w for w in sorted(between)]
     size = len(line)
     out.append("size:" + ("a" if size < 12 else "b" if size < 25 else "c" if size < 45 else "d" if size < 70 else "e" if size < 100 else "f" if size < 160 else "g" if size < 300 else "h"))
     out.append("upper" if upper else "mixed")
-    end = line[-1:] if line else ""
+    end = line[-1:]
     out.append("end:" + (end if not end.isalnum() else "x"))
-    sentences = sum(line.count(x) for x in (". ", "? ", "! "))
-    out.append("sentences:" + str(min(sentences, 3)))
+    out.append("sentences:" + str(min(sum(line.count(x) for x in (". ", "? ", "! ")), 3)))
     return out
 
 
@@ -170,7 +168,7 @@ class Classifier:
         found = self.seen.get(key)
         if found is None:
             w = self.weights
-            found = max(-6.0, min(6.0, self.bias + sum(w.get(f, 0.0) for f in features(key))))
+            found = max(-6.0, min(6.0, self.bias + sum([w[f] for f in features(key) if f in w])))
             if len(line) < 200:
                 if len(self.seen) > 200_000:
                     self.seen.clear()
@@ -183,6 +181,7 @@ CUES = {
     "w:cookies": 1.5, "w:subscribe": 1.5, "w:newsletter": 1.5, "w:copyright": 2.0, "w:©": 2.0, "w:privacy": 1.5, "w:advertisement": 1.5, "w:sponsored": 1.5, "w:share": 0.7, "w:inbox": 1.5,
     "w:sitemap": 1.5, "w:embargoed": 1.5, "w:login": 1.0, "w:menu": 1.0, "w:photo": 0.7, "w:tags": 0.7, "w:related": 0.7, "w:trending": 1.0, "w:»": 0.7, "w:|": 0.5, "size:g": -1.0, "size:h": -1.5, "end:.": -0.5, "sentences:2": -1.0, "sentences:3": -1.0,
 }
+CUES |= {"in:" + k[2:]: v for k, v in CUES.items() if k.startswith("w:")}
 
 
 def fit(lines: list[str], furniture: list[int], rounds: int = 80, decay: float = 4.0) -> Classifier:
@@ -336,7 +335,7 @@ def label_lines(text: str, page: str | None, classifier: Classifier) -> list[int
             odds[k] = min(odds[k], 0.0) if len(line) > 40 else odds[k] * 0.3
         elif len(line) < 100 and often[_key(re.sub(r"\d+", "0", line))] > 2:
             odds[k] += 1.0  # a running head
-    if page and "<" in page and len(page) < 20_000_000:
+    if page and "<" in page:
         blocks = read_page(page)
         if len(blocks) > 1:
             roles = block_roles(blocks)
@@ -368,29 +367,39 @@ def _training_lines(pages: list[str]) -> tuple[list[str], list[int]]:
             if role:
                 lines.append(b.text)
                 y.append(int(role in ("list", "short")))
-            if role == "long" and len(b.text) > 160 and len(lines) % 3 == 0:  # as texts with hard line ends have it
-                for line in textwrap.wrap(b.text, 70 + len(b.text) % 30)[:6]:
+            if role == "long" and len(b.text) > 160 and len(lines) % WRAP_EVERY == 0:
+                for line in textwrap.wrap(b.text, 70 + len(b.text) % 30)[:WRAP_LINES]:
                     lines.append(line)
                     y.append(0)
     return lines, y
 
 
-def train(pages: DataFrame, id_col: str = "id", raw_col: str = "raw_content", most: int = SAMPLE_PAGES) -> Classifier:
-    """The classifier of at most ``most`` pages with markup, those with the least hashed ids."""
-    marked, order = pages.filter(F.col(raw_col).contains("</")), F.xxhash64(F.col(id_col))
-    # the numbers first (a task sends numbers, not pages), then the pages up to the last number
-    least = marked.select(order.alias("h")).orderBy("h").limit(most).agg(F.max("h")).collect()[0][0]
+def train(pages: DataFrame, id_col: str = "id", raw_col: str = "raw_content", most: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> Classifier:
+    """The classifier of at most ``most`` pages with markup and ``chars`` characters, those with the least hashed ids."""
+    size = F.length(raw_col)
+    marked, order = pages.filter(F.col(raw_col).contains("</") & (size <= chars)), F.xxhash64(F.col(id_col))
+    # the numbers and sizes first (a task sends no pages), then the pages up to the last number
+    least, total = None, 0
+    for r in marked.select(order.alias("h"), size.alias("n")).orderBy("h").limit(most).collect():
+        total += r["n"]
+        if total > chars:
+            break
+        least = r["h"]
     if least is None:
         return fit([], [])
-    sample = marked.filter(order <= least).select(F.col(raw_col).alias("raw")).limit(most).collect()
-    return fit_cleaned(*_training_lines([r["raw"] for r in sample]))
+    sample = marked.filter(order <= least).select(F.col(raw_col).alias("raw"), order.alias("h"), size.alias("n"))
+    # numbers can repeat: what the bounds say holds for the rows that are sent
+    running = Window.orderBy("h", "n").rowsBetween(Window.unboundedPreceding, 0)
+    sample = sample.limit(most).withColumn("total", F.sum("n").over(running)).filter(F.col("total") <= chars)
+    return fit_cleaned(*_training_lines([r["raw"] for r in sample.orderBy("h", "n").collect()]))
 
 
 def find_boilerplate(
-    documents: DataFrame, pages: DataFrame, id_col: str = "doc_id", text_col: str = "normalized_text", page_col: str = "source_document_id", page_id: str = "id", raw_col: str = "raw_content"
-) -> DataFrame:
-    """``id_col, line_no`` of each non-empty line outside the main body."""
-    classifier = train(pages, page_id, raw_col)
+    documents: DataFrame, pages: DataFrame, id_col: str = "doc_id", text_col: str = "normalized_text", page_col: str = "source_document_id", page_id: str = "id", raw_col: str = "raw_content",
+    classifier: Classifier | None = None,
+) -> DataFrame:
+    """``id_col, line_no`` of each non-empty line outside the main body; by ``classifier``, else by one fitted on a sample of the pages."""
+    classifier = classifier or train(pages, page_id, raw_col)
     model = documents.sparkSession.sparkContext.broadcast((classifier.weights, classifier.bias))
     # Only pages with markup are worth the shuffle; documents without one keep a null page and are spread by a salt.
     salt = F.when(F.col("page").isNull(), F.pmod(F.xxhash64(id_col), F.lit(4096)) + 1).otherwise(0)
