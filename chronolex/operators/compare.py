@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from chronolex.functions.ontology import HEDGING_LEVELS, STANCES, TRAJECTORIES, UNCERTAINTIES
 from chronolex.functions.text import texts
+from chronolex.plans.materialize import materialize
 
 #: Comparison types: trailing days of the context (null: all history loaded).
 TYPES: dict[str, int | None] = {"t_minus_1": None, "window_75d": 75, "window_24m": 730}
@@ -51,6 +52,11 @@ def theme_changes(pairs: DataFrame, before: str = "before", after: str = "after"
 
     ``before`` and ``after`` are structs with ``stance, trajectory, emphasis_score, hedging_level, uncertainty``.
     """
+    return graded(pairs, before, after).filter("severity > 0")
+
+
+def graded(pairs: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
+    """:func:`theme_changes` with the unchanged themes, whose ``severity`` is 0."""
     b, a = F.col(before), F.col(after)
     out = (
         pairs.withColumn("stance_delta", ordered_delta(STANCES, b["stance"], a["stance"]))
@@ -77,7 +83,6 @@ def theme_changes(pairs: DataFrame, before: str = "before", after: str = "after"
     )
     return (
         out.withColumn("severity", severity)
-        .filter("severity > 0")
         .withColumn("change_type", kind)
         .withColumn("strength", F.when(F.col("severity") >= 3, "high").when(F.col("severity") == 2, "moderate").otherwise("low"))
         .withColumn("uncertainty", max_uncertainty(b["uncertainty"], a["uncertainty"]))
@@ -118,16 +123,22 @@ _ASSESSED = ("stance", "trajectory", "emphasis_score", "hedging_level", "uncerta
 
 
 def _assessed(themes: DataFrame, name: str) -> DataFrame:
-    return themes.select(F.col("doc_id").alias("_d"), "theme", F.struct(*_ASSESSED).alias(name))
+    """Theme rows as a struct, with the first two quotes where the rows have evidence."""
+    quotes = [F.slice("evidence", 1, 2).alias("evidence")] if "evidence" in themes.columns else []
+    return themes.select(F.col("doc_id").alias("_d"), "theme", F.struct(*_ASSESSED, *quotes).alias(name))
+
+
+def _paired(base: DataFrame, themes: DataFrame) -> DataFrame:
+    """``doc_id, base_doc_id, theme, after, before``: a document's themes with those of its base, null where that lacks them."""
+    after = base.join(_assessed(themes, "after"), F.col("doc_id") == F.col("_d")).drop("_d")
+    before = _assessed(themes, "before").select(F.col("_d").alias("base_doc_id"), "theme", "before")
+    return after.join(before, ["base_doc_id", "theme"], "left").select("doc_id", "base_doc_id", "theme", "after", "before")
 
 
 def compare_to_previous(docs: DataFrame, themes: DataFrame, within_days: int = HISTORY_DAYS) -> DataFrame:
     """Theme changes of every document against its previous one: ``doc_id, base_doc_id, theme, before, after, ...``."""
     base = previous_documents(docs, within_days).filter("base_doc_id is not null")
-    after = base.join(_assessed(themes, "after"), F.col("doc_id") == F.col("_d")).drop("_d")
-    before = _assessed(themes, "before").withColumnRenamed("theme", "_theme")
-    pairs = after.join(before, (F.col("base_doc_id") == F.col("_d")) & (F.col("theme") == F.col("_theme"))).drop("_d", "_theme")
-    return theme_changes(pairs)
+    return theme_changes(_paired(base, themes).filter("before is not null"))
 
 
 def new_themes(docs: DataFrame, themes: DataFrame, within_days: int = HISTORY_DAYS) -> DataFrame:
@@ -138,14 +149,12 @@ def new_themes(docs: DataFrame, themes: DataFrame, within_days: int = HISTORY_DA
     return mine.join(theirs, ["base_doc_id", "theme"], "left_anti").select("doc_id", "theme")
 
 
-def orphaned_themes(docs: DataFrame, themes: DataFrame, window_days: int | None = None, min_emphasis: int = 3, within_days: int = HISTORY_DAYS) -> DataFrame:
-    """``doc_id, theme``: themes of emphasis in the history that a document no longer has.
+def _orphaned(docs: DataFrame, themes: DataFrame, reaches: list[int], min_emphasis: int) -> DataFrame:
+    """``doc_id, theme, within``: themes of emphasis that stood in a reach (days) before and the document lacks; ``within`` lists the reaches.
 
-    History: the speaker's strictly earlier documents of ``window_days`` (else ``within_days``).
-    Per (speaker, theme) a range frame over the days says whether the theme stood in the window,
+    Per (speaker, theme) range frames over the days say whether the theme stood in the windows,
     so histories are never multiplied out and no speaker has more rows there than there are days.
     """
-    reach = min(window_days or within_days, within_days)
     d = _days(docs).filter("day is not null").select("doc_id", "speaker_name", "day")
     loud = themes.filter(F.col("emphasis_score") >= min_emphasis).select("doc_id", "theme").distinct()
     seen = d.join(loud, "doc_id").groupBy("speaker_name", "theme", "day").agg(F.count("*").alias("n"))
@@ -153,38 +162,57 @@ def orphaned_themes(docs: DataFrame, themes: DataFrame, window_days: int | None
     # every day of a speaker asks for each theme the speaker ever stressed
     asks = d.select("speaker_name", "day").distinct().join(names, "speaker_name").select("speaker_name", "theme", "day", F.lit(0).cast("long").alias("n"), F.lit(True).alias("ask"))
     both = asks.unionByName(seen.select("speaker_name", "theme", "day", "n", F.lit(False).alias("ask")))
-    w = Window.partitionBy("speaker_name", "theme").orderBy("day").rangeBetween(-reach, -1)
-    due = both.withColumn("seen", F.sum("n").over(w)).filter("ask and seen > 0").select("speaker_name", "theme", "day")
+    w = Window.partitionBy("speaker_name", "theme").orderBy("day")
+    within = F.array_compact(F.array(*[F.when(F.sum("n").over(w.rangeBetween(-r, -1)) > 0, F.lit(r)) for r in reaches]))
+    due = both.withColumn("within", within).filter("ask and size(within) > 0").select("speaker_name", "theme", "day", "within")
     told = d.join(due, ["speaker_name", "day"])
-    return told.select("doc_id", "theme").join(themes.select("doc_id", "theme"), ["doc_id", "theme"], "left_anti")
+    return told.select("doc_id", "theme", "within").join(themes.select("doc_id", "theme"), ["doc_id", "theme"], "left_anti")
+
+
+def orphaned_themes(docs: DataFrame, themes: DataFrame, window_days: int | None = None, min_emphasis: int = 3, within_days: int = HISTORY_DAYS) -> DataFrame:
+    """``doc_id, theme``: themes of emphasis in the history that a document no longer has.
+
+    History: the speaker's strictly earlier documents of ``window_days`` (else ``within_days``).
+    """
+    return _orphaned(docs, themes, [min(window_days or within_days, within_days)], min_emphasis).select("doc_id", "theme")
+
+
+#: What a comparison carries of each changed theme.
+CHANGE = ("theme", "change_type", "strength", "uncertainty", "summary")
 
 
 def comparison_results(docs: DataFrame, themes: DataFrame, phrases: DataFrame, types: dict[str, int | None] = TYPES) -> DataFrame:
     """One row per document with history and comparison type.
 
-    ``doc_id, base_doc_id, comparison_type, window_days, n_changes, new_themes, orphaned, phrase_anomalies, n_phrases, summary, comparison_key``.
+    ``doc_id, base_doc_id, comparison_type, window_days, n_changes, theme_changes, new_themes, orphaned, phrase_anomalies, n_phrases, summary, comparison_key``.
     All types share the previous document and the ten rarest phrases of the document (``phrases``: its
-    phrase signals); only the context of the orphaned themes differs.
+    phrase signals); only the context of the orphaned themes differs. Changes carry up to two quotes of
+    either side where ``themes`` has evidence. The previous documents are found once, their themes are met
+    once, and all windows come from one pass over the days.
     """
-    base = previous_documents(docs).filter("base_doc_id is not null")
-    changes = compare_to_previous(docs, themes).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_changes"))
-    fresh = new_themes(docs, themes).groupBy("doc_id").agg(F.array_sort(F.collect_set("theme")).alias("new_themes"))
-    kinds = F.array(*[F.struct(F.lit(k).alias("comparison_type"), F.lit(w).cast("int").alias("window_days")) for k, w in types.items()])
-    rows = base.join(changes, "doc_id", "left").join(fresh, "doc_id", "left")
+    base = materialize(previous_documents(docs).filter("base_doc_id is not null"), "previous")
+    with_quotes = "evidence" in themes.columns
+    met = graded(_paired(base, themes))
+    quotes = [F.col(f"{side}.evidence").alias(f"evidence_{side}") for side in ("before", "after")] if with_quotes else []
+    known = F.col("before").isNotNull()
+    per_doc = met.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(known & (F.col("severity") > 0), F.struct(*CHANGE, *quotes)))).alias("theme_changes"),
+        F.array_sort(F.collect_set(F.when(~known, F.col("theme")))).alias("new_themes"),
+    )
+    reach = {k: min(days or HISTORY_DAYS, HISTORY_DAYS) for k, days in types.items()}
+    reaches = sorted(set(reach.values()))
+    lost = [F.array_sort(F.collect_set(F.when(F.array_contains("within", r), F.col("theme")))).alias(f"_{r}") for r in reaches]
+    gone = _orphaned(docs, themes, reaches, 3).groupBy("doc_id").agg(*lost)
     # ranks go by the unrounded rarity, so they also order the rounded one with its ties
     rare = F.array_sort(F.collect_list(F.struct("rank", "phrase_text", "semantic_key", "rarity_score")))
-    rows = rows.join(phrases.filter(F.col("rank") <= TOP_PHRASES).groupBy("doc_id").agg(rare.alias("phrase_anomalies"), F.count("*").cast("int").alias("n_phrases")), "doc_id", "left")
-    rows = rows.select("*", F.explode(kinds).alias("_k")).select("*", "_k.*").drop("_k")
-    gone = None
-    for kind, days in types.items():
-        o = orphaned_themes(docs, themes, days).groupBy("doc_id").agg(F.array_sort(F.collect_set("theme")).alias("orphaned")).withColumn("comparison_type", F.lit(kind))
-        gone = o if gone is None else gone.unionByName(o)
-    rows = rows.join(gone, ["doc_id", "comparison_type"], "left")
-    none = F.array().cast("array<string>")
-    rows = rows.withColumn("phrase_anomalies", F.coalesce("phrase_anomalies", F.array().cast(rows.schema["phrase_anomalies"].dataType)))
-    rows = rows.withColumns({"n_changes": F.coalesce("n_changes", F.lit(0)), "n_phrases": F.coalesce("n_phrases", F.lit(0)), "new_themes": F.coalesce("new_themes", none), "orphaned": F.coalesce("orphaned", none)})
+    rarest = phrases.filter(F.col("rank") <= TOP_PHRASES).groupBy("doc_id").agg(rare.alias("phrase_anomalies"))
+    rows = base.join(per_doc, "doc_id", "left").join(rarest, "doc_id", "left").join(gone, "doc_id", "left")
+    filled = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("theme_changes", "new_themes", "phrase_anomalies", *[f"_{r}" for r in reaches])}
+    kinds = F.array(*[F.struct(F.lit(k).alias("comparison_type"), F.lit(w).cast("int").alias("window_days"), F.col(f"_{reach[k]}").alias("orphaned")) for k, w in types.items()])
+    rows = rows.withColumns(filled).select("*", F.explode(kinds).alias("_k")).select("*", "_k.*")
+    rows = rows.withColumns({"n_changes": F.size("theme_changes"), "n_phrases": F.size("phrase_anomalies")})
     return rows.select(
-        "doc_id", "base_doc_id", "comparison_type", "window_days", "n_changes", "new_themes", "orphaned", "phrase_anomalies", "n_phrases", summary_line(F.col("n_changes"), F.size("new_themes"), F.size("orphaned"), F.col("n_phrases")).alias("summary"),
+        "doc_id", "base_doc_id", "comparison_type", "window_days", "n_changes", "theme_changes", "new_themes", "orphaned", "phrase_anomalies", "n_phrases", summary_line(F.col("n_changes"), F.size("new_themes"), F.size("orphaned"), F.col("n_phrases")).alias("summary"),
         F.concat(F.lit("cmp_"), F.substring(F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("base_doc_id").cast("string"), "comparison_type")), 1, 12)).alias("comparison_key"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolex.plans.materialize import materialize
+from chronolex.plans.materialize import drop_materialized, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = materialize(both.union(both.select("y", "x")).filter("x <> y").distinct(), "component-edges")
     labels = both.groupBy(F.col("x").alias("id")).agg(F.least(F.col("id"), F.min("y")).alias("component"))
-    labels = materialize(labels, "component-labels")
+    labels = written = materialize(labels, "component-labels")
     while True:
         around = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("near"))
         hooked = labels.join(around, "id").select("id", F.least("component", "near").alias("c"), F.col("component").alias("old"))
@@ -26,5 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         jumped = hooked.join(onward, "c", "left").select("id", F.least(F.col("c"), F.coalesce("further", "c")).alias("component"), "old")
         step = materialize(jumped, "component-labels")
         labels = step.select("id", "component")
+        drop_materialized(written)
+        written = step
         if step.filter("component <> old").isEmpty():
             return labels

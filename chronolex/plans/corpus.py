@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.functions.ontology import DEFAULT, Ontology
+from chronolex.functions.text import sentences
+from chronolex.operators.artifacts import latest_documents
 from chronolex.operators.compare import comparison_results, theme_changes
-from chronolex.operators.fingerprint import headers, theme_assessments
+from chronolex.operators.fingerprint import theme_assessments, tone
 from chronolex.operators.phrases import phrase_signals
 from chronolex.plans.materialize import materialize
 
@@ -32,11 +34,20 @@ class Corpus:
         themes = theme_assessments(documents, ontology=ontology)
         if keep_themes:
             themes = materialize(themes, "themes")
-        tones = headers(documents, themes, ontology=ontology)
         columns = ["doc_id", "document_key", "speaker_name", "title", "speech_date", "document_type", "created_at"]
-        docs = documents.select(*columns).join(tones.select("doc_id", "overall_tone"), "doc_id")
+        said = tone(sentences(F.coalesce("normalized_text", F.lit(""))), ontology)
+        docs = documents.select(*columns, said.alias("overall_tone"))
         return Corpus(docs, themes, documents, ontology)
 
+    @staticmethod
+    def latest(documents: DataFrame, limit: int, ontology: Ontology = DEFAULT, keep_themes: bool = False) -> Corpus:
+        """Of each speaker's latest ``limit`` documents only, chosen by narrow columns before any text is read.
+
+        Queries with this limit or a lower one give what they give on the whole corpus.
+        """
+        chosen = latest_documents(documents.select("doc_id", "document_key", "speaker_name", "speech_date"), limit).select("doc_id").distinct()
+        return Corpus.of(documents.filter("speaker_name is not null").join(chosen, "doc_id", "left_semi"), ontology, keep_themes)
+
     def comparisons(self, phrases: DataFrame | None = None) -> DataFrame:
         """All comparisons, each with its document's rarest phrases (``phrases``: their signals, else computed)."""
         about = self.docs.select("doc_id", "speaker_name", "created_at")

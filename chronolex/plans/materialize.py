@@ -17,18 +17,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     The copy survives lost executors, is columnar (later readers prune columns)
     and gives the planner true sizes. It is removed when the driver ends or by
-    :func:`drop_materialized`.
+    :func:`drop_materialized`; loops drop the table of a round once the next is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronolex/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
 
 
-def drop_materialized() -> None:
-    """Delete every table this driver wrote with :func:`materialize`."""
-    for path, spark in list(_written.items()):
+def drop_materialized(table: DataFrame | None = None) -> None:
+    """Delete a table that :func:`materialize` gave and nothing reads any more; without one, every table of this driver."""
+    for path, spark in [(p, s) for p, s in _written.items() if table is None or p == getattr(table, "_written_at", None)]:
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

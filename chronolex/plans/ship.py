@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_folders: list[tempfile.TemporaryDirectory] = []  # removed when the driver ends
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -20,7 +21,9 @@ def ship(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="chronolex-ship-")) / "chronolex.zip"
+        folder = tempfile.TemporaryDirectory(prefix="chronolex-ship-")
+        _folders.append(folder)
+        archive = Path(folder.name) / "chronolex.zip"
         with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f"chronolex/{f.relative_to(package)}")

@@ -441,21 +441,37 @@ def c9_orphaned_75d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.orphaned_themes(c.docs, c.themes, 75)
 
 
-@_query(
-    f"""WITH {_THEMES}, {_PREVIOUS}, {_CHANGES}, {_ORPHANS},
+_COMPARED = f"""{_THEMES}, {_PREVIOUS}, {_CHANGES}, {_ORPHANS}, {_GRAMS},
 n AS (SELECT doc_id, count(*) AS n FROM changes WHERE severity > 0 GROUP BY 1),
 f AS (SELECT t.doc_id, string_agg(t.theme, '|' ORDER BY t.theme) AS l, count(*) AS n FROM themes t JOIN previous p USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM themes b WHERE b.doc_id = p.base_doc_id AND b.theme = t.theme) GROUP BY 1),
-g AS (SELECT doc_id, days, string_agg(theme, '|' ORDER BY theme) AS l, count(*) AS n FROM orphans GROUP BY 1, 2)
-SELECT p.doc_id, p.base_doc_id, k.kind AS comparison_type, CAST(CASE WHEN k.kind <> 't_minus_1' THEN k.days ELSE 0 END AS INTEGER) AS window_days, CAST(coalesce(n.n, 0) AS INTEGER) AS n_changes, coalesce(f.l, '') AS new_themes, coalesce(g.l, '') AS orphaned,
-  coalesce(nullif(concat_ws('; ', CASE WHEN n.n > 0 THEN n.n || ' theme changes vs baseline' END, CASE WHEN f.n > 0 THEN f.n || ' new themes' END, CASE WHEN g.n > 0 THEN g.n || ' orphaned concepts' END), ''), 'No material changes detected') AS summary
-FROM previous p CROSS JOIN (VALUES ('t_minus_1', 730), ('window_75d', 75), ('window_24m', 730)) k(kind, days) LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN g ON g.doc_id = p.doc_id AND g.days = k.days
-WHERE p.base_doc_id IS NOT NULL"""
-)
+g AS (SELECT doc_id, days, string_agg(theme, '|' ORDER BY theme) AS l, count(*) AS n FROM orphans GROUP BY 1, 2),
+rare AS (SELECT doc_id, string_agg(phrase, '|' ORDER BY rank) AS l, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r DESC, n, pos) AS rank FROM scored) WHERE rank <= 10 GROUP BY 1),
+compared AS (SELECT p.doc_id, p.base_doc_id, k.kind AS comparison_type, CAST(CASE WHEN k.kind <> 't_minus_1' THEN k.days ELSE 0 END AS INTEGER) AS window_days, CAST(coalesce(n.n, 0) AS INTEGER) AS n_changes, coalesce(f.l, '') AS new_themes, coalesce(g.l, '') AS orphaned,
+  CAST(coalesce(rare.n, 0) AS INTEGER) AS n_phrases, coalesce(rare.l, '') AS phrase_anomalies,
+  coalesce(nullif(concat_ws('; ', CASE WHEN n.n > 0 THEN n.n || ' theme changes vs baseline' END, CASE WHEN f.n > 0 THEN f.n || ' new themes' END, CASE WHEN g.n > 0 THEN g.n || ' orphaned concepts' END, CASE WHEN rare.n > 0 THEN rare.n || ' phrase anomalies' END), ''), 'No material changes detected') AS summary
+FROM previous p CROSS JOIN (VALUES ('t_minus_1', 730), ('window_75d', 75), ('window_24m', 730)) k(kind, days) LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN g ON g.doc_id = p.doc_id AND g.days = k.days LEFT JOIN rare ON rare.doc_id = p.doc_id
+WHERE p.base_doc_id IS NOT NULL)"""
+
+
+@_query(f"WITH {_COMPARED} SELECT * FROM compared")
 def c15_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _corpus(spark, sf_dir).comparisons()
     return rows.select("doc_id", "base_doc_id", "comparison_type", F.coalesce("window_days", F.lit(0)).alias("window_days"), "n_changes", _bar("new_themes").alias("new_themes"), _bar("orphaned").alias("orphaned"), "n_phrases", _bar("phrase_anomalies.phrase_text").alias("phrase_anomalies"), "summary")
 
 
+@_query(
+    f"""WITH {_THEMES}, {_PREVIOUS}, {_CHANGES}, quoted AS (SELECT doc_id, theme, array_to_string(list_transform(m[1:2], lambda s: substring(s, 1, 280)), ' | ') AS q FROM themes)
+SELECT c.doc_id, c.theme, b.q AS evidence_before, a.q AS evidence_after FROM changes c JOIN quoted a ON a.doc_id = c.doc_id AND a.theme = c.theme JOIN quoted b ON b.doc_id = c.base_doc_id AND b.theme = c.theme WHERE severity > 0"""
+)
+def c7_change_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quotes that the comparisons with the previous document carry for each changed theme."""
+    c = _corpus(spark, sf_dir)
+    none = c.docs.select("doc_id", F.lit(1).alias("rank"), *[F.lit("").alias(n) for n in ("phrase_text", "semantic_key")], F.lit(0.0).alias("rarity_score")).limit(0)
+    rows = c.comparisons(none).filter("comparison_type = 't_minus_1'").select("doc_id", F.explode("theme_changes").alias("t"))
+    said = [F.array_join(F.transform(f"t.evidence_{side}", lambda e: e["quote"]), " | ").alias(f"evidence_{side}") for side in ("before", "after")]
+    return rows.select("doc_id", "t.theme", *said)
+
+
 @_query(
     f"""WITH {_THEMES}, {_TONES}, {_PREVIOUS},
 w AS (SELECT a.doc_id, b.doc_id AS b, b.day FROM d a JOIN d b ON a.speaker_name = b.speaker_name AND b.day BETWEEN a.day - 75 AND a.day - 1),
@@ -478,13 +494,13 @@ typed AS (SELECT *, CASE WHEN e >= 3 THEN 'NEW_EMPHASIS' WHEN e <= -3 THEN 'REDU
   abs(s) + abs(tr) + abs(e) / 3 AS size FROM moves WHERE s <> 0 OR tr <> 0 OR abs(e) >= 2 OR h <> 0)"""
 
 
-@_query(
-    f"""WITH {_THEMES}, {_PREVIOUS}, {_SHIFTS}
-SELECT base_doc_id, doc_id, theme, shift_type, CASE WHEN shift_type IN ('HAWKISH_DRIFT', 'DOVISH_PIVOT') THEN CASE WHEN theme IN ('INFLATION', 'POLICY_STANCE', 'LABOR_MARKETS') OR size >= 3 THEN 'HIGH' ELSE 'MEDIUM' END
+_SHIFT_ROWS = """SELECT base_doc_id, doc_id, theme, shift_type, CASE WHEN shift_type IN ('HAWKISH_DRIFT', 'DOVISH_PIVOT') THEN CASE WHEN theme IN ('INFLATION', 'POLICY_STANCE', 'LABOR_MARKETS') OR size >= 3 THEN 'HIGH' ELSE 'MEDIUM' END
   WHEN shift_type IN ('NEW_EMPHASIS', 'CONVICTION_CHANGE') THEN CASE WHEN size >= 4 THEN 'HIGH' ELSE 'MEDIUM' END ELSE CASE WHEN size >= 2 THEN 'MEDIUM' ELSE 'LOW' END END AS significance FROM typed
 UNION ALL SELECT p.base_doc_id, p.doc_id, b.theme, 'ORPHANED_CONCEPT', CASE WHEN b.emphasis_score >= 6 THEN 'HIGH' ELSE 'MEDIUM' END FROM previous p JOIN themes b ON b.doc_id = p.base_doc_id WHERE b.emphasis_score >= 3 AND NOT EXISTS (SELECT 1 FROM themes t WHERE t.doc_id = p.doc_id AND t.theme = b.theme)
 UNION ALL SELECT p.base_doc_id, p.doc_id, t.theme, 'NEW_THEME', CASE WHEN t.emphasis_score >= 6 THEN 'HIGH' ELSE 'MEDIUM' END FROM previous p JOIN themes t USING (doc_id) WHERE p.base_doc_id IS NOT NULL AND t.emphasis_score >= 3 AND NOT EXISTS (SELECT 1 FROM themes b WHERE b.doc_id = p.base_doc_id AND b.theme = t.theme)"""
-)
+
+
+@_query(f"WITH {_THEMES}, {_PREVIOUS}, {_SHIFTS} {_SHIFT_ROWS}")
 def l6_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _corpus(spark, sf_dir)
     return shifts.detect_shifts(compare.previous_documents(c.docs).filter("base_doc_id is not null"), c.themes)
@@ -497,7 +513,10 @@ def l7_verified_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shifts.verify_quotes(quotes, docs).groupBy("doc_id", "theme").agg(F.count("*").alias("n"), F.count_if("verified").alias("verified"))
 
 
-@_query("SELECT CAST(0 AS BIGINT) AS high_shifts, count(*) AS n_documents FROM documents")
+@_query(
+    f"""WITH {_THEMES}, previous AS (SELECT doc_id, doc_id AS base_doc_id FROM documents), {_SHIFTS}, graded AS ({_SHIFT_ROWS})
+SELECT (SELECT count(*) FROM graded WHERE significance = 'HIGH') AS high_shifts, count(*) AS n_documents FROM documents"""
+)
 def l8_negative_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against itself: no shift of high significance."""
     c = _corpus(spark, sf_dir)
@@ -530,7 +549,7 @@ def l9_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r.speaker_name, CAST(rn AS INTEGER) AS rn, doc_id, CAST(speech_date AS VARCHAR) AS speech_date, r.title, overall_tone, coalesce((SELECT string_agg(theme, '|' ORDER BY theme) FROM themes t WHERE t.doc_id = r.doc_id), '') AS themes FROM ranked r JOIN tones USING (doc_id)"""
 )
 def q1_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _corpus(spark, sf_dir)
+    c = Corpus.latest(_docs(spark, sf_dir), 10)
     return artifacts.speaker_timeline(c.docs, c.themes).withColumns({"speech_date": F.col("speech_date").cast("string"), "themes": _bar("themes")})
 
 
@@ -563,7 +582,7 @@ def q3_phrase_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT speaker_name, doc_id, title, CAST(speech_date AS VARCHAR) AS speech_date, overall_tone, coalesce((SELECT string_agg(theme, '|' ORDER BY theme) FROM themes t WHERE t.doc_id = r.doc_id), '') AS themes FROM r JOIN tones USING (doc_id) WHERE k = 1"""
 )
 def q4_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _corpus(spark, sf_dir)
+    c = Corpus.latest(_docs(spark, sf_dir), 1)
     rows = artifacts.latest_snapshot(c.docs, c.themes)
     return rows.select("speaker_name", "doc_id", "title", F.col("speech_date").cast("string").alias("speech_date"), "overall_tone", F.coalesce(_bar("themes"), F.lit("")).alias("themes"))
 
@@ -575,7 +594,7 @@ g AS (SELECT speaker_name, theme, count(*) AS n, min(rn) AS f, min(ordinal) AS o
 SELECT speaker_name, theme, CAST(n AS INTEGER) AS historical_mentions, supporting, CAST(row_number() OVER (PARTITION BY speaker_name ORDER BY n DESC, f, o) AS INTEGER) AS rn FROM g"""
 )
 def q5_orphaned_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _corpus(spark, sf_dir)
+    c = Corpus.latest(_docs(spark, sf_dir), 100, keep_themes=True)
     ids = _bar(F.transform("supporting", lambda s: s["doc_id"].cast("string")))
     return artifacts.orphaned_concepts(c.docs, c.themes).select("speaker_name", "theme", "historical_mentions", ids.alias("supporting"), "rn")
 
@@ -587,7 +606,7 @@ g AS (SELECT speaker_name, theme, min(ordinal) AS o, count(*) AS n, arg_max(doc_
 SELECT speaker_name, theme, CAST(n AS INTEGER) AS n, first_doc_id, latest_doc_id, net AS net_emphasis_change, stance_path, trajectory_path, CAST(row_number() OVER (PARTITION BY speaker_name ORDER BY abs(net) DESC, n DESC, f DESC, o) AS INTEGER) AS rn FROM g"""
 )
 def q6_theme_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _corpus(spark, sf_dir, keep_themes=False)
+    c = Corpus.latest(_docs(spark, sf_dir), 20)
     rows = artifacts.theme_drift(c.docs, c.themes)
     return rows.select("speaker_name", "theme", "n", "first_doc_id", "latest_doc_id", "net_emphasis_change", _bar("stance_path").alias("stance_path"), _bar("trajectory_path").alias("trajectory_path"), "rn")
 
@@ -597,13 +616,34 @@ def _brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.speaker_brief(c.docs, c.themes, c.comparisons(), _observed(spark, sf_dir))
 
 
-@_query()
+_BRIEF = f"""{_COMPARED}, q4 AS ({_SQL['q4_latest_snapshot']}), q5 AS ({_SQL['q5_orphaned_concepts']}), q6 AS ({_SQL['q6_theme_drift']}),
+last AS (SELECT speaker_name, comparison_key, base_doc_id, summary FROM (SELECT d.speaker_name, c.*, 'cmp_' || substring(sha1(c.doc_id || '|' || c.base_doc_id || '|t_minus_1'), 1, 12) AS comparison_key,
+    row_number() OVER (PARTITION BY d.speaker_name ORDER BY d.created_at DESC NULLS LAST, comparison_key DESC) AS k FROM compared c JOIN d USING (doc_id) WHERE comparison_type = 't_minus_1') WHERE k = 1),
+o AS (SELECT speaker_name, string_agg(theme || ':' || historical_mentions, '|' ORDER BY rn) AS l, string_agg(CASE WHEN rn <= 3 THEN theme END, ', ' ORDER BY rn) AS three FROM q5 GROUP BY 1),
+dr AS (SELECT speaker_name, string_agg(theme || ':' || n || ':' || net_emphasis_change, '|' ORDER BY rn) AS l, arg_min(theme || ' with net emphasis change ' || net_emphasis_change, rn) AS top FROM q6 GROUP BY 1),
+ph AS (SELECT speaker_name, string_agg(phrase_text, '|' ORDER BY rn) AS l, arg_min(phrase_text, rn) AS top FROM (SELECT d.speaker_name, p.phrase_text, row_number() OVER (PARTITION BY d.speaker_name ORDER BY rarity_score DESC NULLS LAST, d.doc_id, semantic_key) AS rn
+  FROM phrase_observations p JOIN documents d ON d.doc_id = p.document_id WHERE d.speaker_name IS NOT NULL) WHERE rn <= 10 GROUP BY 1),
+brief AS (SELECT q4.*, last.comparison_key, last.base_doc_id, last.summary, o.l AS orphaned, o.three, dr.l AS drift, dr.top AS top_drift, ph.l AS phrases, ph.top AS top_phrase
+  FROM q4 LEFT JOIN last USING (speaker_name) LEFT JOIN o USING (speaker_name) LEFT JOIN dr USING (speaker_name) LEFT JOIN ph USING (speaker_name))"""
+
+
+@_query(f"WITH {_BRIEF} SELECT speaker_name, doc_id, title, overall_tone, themes, coalesce(comparison_key, '') AS comparison_key, coalesce(CAST(base_doc_id AS VARCHAR), '') AS base_doc_id, coalesce(summary, '') AS summary, coalesce(orphaned, '') AS orphaned, coalesce(drift, '') AS drift, coalesce(phrases, '') AS phrases FROM brief")
 def q7_speaker_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A brief of every speaker."""
-    return _brief(spark, sf_dir).select("speaker_name", *[F.to_json(c).alias(c) for c in ("latest", "latest_t_minus_1", "orphaned_concepts_75d", "theme_drift_24m", "phrase_anomalies")])
 
+    def listed(c: str, *fields: str) -> Column:
+        return F.coalesce(_bar(F.transform(c, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields]))), F.lit(""))
 
-@_query()
+    last = [F.coalesce(F.col(f"latest_t_minus_1.{c}").cast("string"), F.lit("")).alias(c) for c in ("comparison_key", "base_doc_id", "summary")]
+    return _brief(spark, sf_dir).select(
+        "speaker_name", "latest.doc_id", "latest.title", "latest.overall_tone", F.coalesce(_bar("latest.themes"), F.lit("")).alias("themes"), *last,
+        listed("orphaned_concepts_75d", "theme", "historical_mentions").alias("orphaned"), listed("theme_drift_24m", "theme", "n", "net_emphasis_change").alias("drift"), listed("phrase_anomalies", "phrase_text").alias("phrases"),
+    )
+
+
+@_query(
+    f"""WITH {_BRIEF} SELECT speaker_name, concat_ws('|', summary, 'Orphaned concepts in 75d window: ' || three, 'Theme drift focus: ' || top_drift, 'Top phrase anomaly: ' || top_phrase) AS highlights FROM brief"""
+)
 def q8_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences that answer a question about every speaker."""
     return artifacts.highlights(_brief(spark, sf_dir)).select("speaker_name", _bar("highlights").alias("highlights"))
@@ -625,12 +665,13 @@ SELECT speaker_name, arg_min(doc_id, rn) AS doc_id, arg_min(document_key, rn) AS
 def q10_latest_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each speaker's newest document beside the very newest."""
     docs = _docs(spark, sf_dir)
-    newest = artifacts.latest_documents(docs, 1_000_000_000).filter("rn = 1")
+    # the greatest of the order that rn has; nulls are least in a struct, as its nulls last are
+    newest = docs.filter("speaker_name is not null").groupBy("speaker_name").agg(F.max(F.struct("speech_date", "document_key", "doc_id"))["document_key"].alias("document_key"))
     return artifacts.latest_other(docs, newest)
 
 
 @_query(
-    f"""WITH {_LATEST.format(limit=100)} SELECT doc_id, CAST(speech_date AS VARCHAR) AS speech_date, CAST(rn AS INTEGER) AS rn FROM ranked WHERE speaker_name = 'Henrik Lunvrabane' AND speech_date < DATE '2024-01-01' AND speech_date >= DATE '2024-01-01' - INTERVAL 730 DAY"""
+    f"""WITH {_LATEST.format(limit=100)} SELECT speaker_name, doc_id, CAST(speech_date AS VARCHAR) AS speech_date, CAST(rn AS INTEGER) AS rn FROM ranked WHERE speech_date < DATE '2024-01-01' AND speech_date >= DATE '2024-01-01' - INTERVAL 730 DAY"""
 )
 def q11_documents_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each speaker's documents of the two years before 2024."""
@@ -696,7 +737,8 @@ def x2_streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT vec_id, label, round(sum_, 4) AS similarity FROM (SELECT e.vec_id, e.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS sum_ FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q) WHERE sum_ >= 0.2"""
+    """SELECT query_id, vec_id, label, round(s, 4) AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE s >= 0.2"""
 )
 def x1_concept_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine similarity of every twentieth concept vector (by id) to all of them, above a threshold."""

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from chronolex.functions.ontology import DEFAULT, Ontology
 from chronolex.functions.text import slug
-from chronolex.operators.compare import compare_to_previous, comparison_results, merged_notes
+from chronolex.operators.compare import comparison_results, merged_notes
 from chronolex.operators.fingerprint import headers, theme_assessments
 from chronolex.operators.normalize import segments
 from chronolex.operators.phrases import phrase_signals
@@ -25,7 +25,7 @@ from chronolex.sources.store import Store, skip_existing
 
 PAGES = "id long, source_url string, raw_content string, fetched_at timestamp"
 PROMPT_VERSION, MODEL_VERSION = "v2", "heuristic-v1"
-_ASSESSED = ["doc_id", "theme", "stance", "trajectory", "emphasis_score", "hedging_level", "uncertainty"]
+_ASSESSED = ["doc_id", "theme", "stance", "trajectory", "emphasis_score", "hedging_level", "uncertainty", "evidence"]
 _ABOUT = ["doc_id", "document_key", "speaker_name", "speech_date", "created_at", "normalized_text"]
 
 
@@ -66,13 +66,10 @@ def analyze_batch(store: Store, fresh: DataFrame, ontology: Ontology = DEFAULT)
     store.append("fingerprints", heads.join(fresh.select("doc_id", "document_key", "created_at"), "doc_id").select("*", *versions), ["doc_id"])
     store.append("phrase_observations", signals.join(about.drop("speaker_name"), "doc_id").select("*", F.array("phrase_text").alias("examples"), now), ["rank"])
 
-    changes = compare_to_previous(all_docs, all_themes).groupBy("doc_id")
-    changes = changes.agg(F.array_sort(F.collect_list(F.struct("theme", "change_type", "strength", "uncertainty", "summary"))).alias("theme_changes"))
     mine, theirs = (notes.select(F.col("doc_id").alias(k), F.col("uncertainty_notes").alias(n)) for k, n in (("doc_id", "mine"), ("base_doc_id", "theirs")))
-    rows = comparison_results(all_docs, all_themes, signals).join(about, "doc_id").join(changes, "doc_id", "left").join(mine, "doc_id").join(theirs, "base_doc_id", "left")
+    rows = comparison_results(all_docs, all_themes, signals).join(about, "doc_id").join(mine, "doc_id").join(theirs, "base_doc_id", "left")
     noted = merged_notes(F.col("mine"), F.col("theirs")).alias("uncertainty_notes")
-    none = F.array().cast("array<struct<theme:string,change_type:string,strength:string,uncertainty:string,summary:string>>")
-    store.append("comparison_results", rows.select(*[c for c in rows.columns if c not in ("theme_changes", "mine", "theirs")], F.coalesce("theme_changes", none).alias("theme_changes"), noted, now), ["doc_id"])
+    store.append("comparison_results", rows.select(*[c for c in rows.columns if c not in ("mine", "theirs")], noted, now), ["doc_id"])
 
 
 def ingest_pages(store: Store, pages: DataFrame, skip_seen: bool = True, ontology: Ontology = DEFAULT) -> None:
