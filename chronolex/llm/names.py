@@ -339,7 +339,8 @@ def _fits(records: DataFrame, profiles: DataFrame) -> DataFrame:
                     rows.append((x.rid, x.pid, s[0], s[1]))
             yield pd.DataFrame(rows, columns=["rid", "pid", "tier", "d"])
 
-    return paired.repartition(_tasks(records), "rid").mapInPandas(run, "rid string, pid long, tier int, d double")
+    # by a hash of their own: a partitioning that a join left would be taken over and its small partitions put together
+    return paired.repartition(_tasks(records), F.xxhash64("pid", "rid")).mapInPandas(run, "rid string, pid long, tier int, d double")
 
 
 def _sole(fits: DataFrame) -> DataFrame:
