@@ -1,21 +1,33 @@
 """Phrase signals: rare runs of two to five words against the same speaker's own history.
 
-The runs come from shifted copies of the token array side by side, without a
-window or shuffle. They travel as hashes with their place, fixed-width rows in one
-shuffle by (speaker, run) that serves both the counting within documents and
-the history; nearly all runs of a document differ, so there is nothing to combine before it.
-A hot speaker is spread over its runs. The words of the few runs kept are read back from
-the documents' own tokens.
+Two ways, with the same results. The runs of a document are an order of
+magnitude more than its words, so where all texts of a speaker fit into a task
+(:data:`HOT_CHARS`) the texts travel, once, and counts and histories are found by
+array operations in one pass over the speaker's runs. Texts of speakers beyond that size stay
+where they are and their runs travel, as hashes with their place; histories
+are summed by day first, so no phrase of a hot speaker has more rows in a
+window than there are days. Documents without a speaker have no history and are
+read where they are.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronolex.functions.ontology import DEFAULT, Ontology
 from chronolex.functions.text import texts, tokens
+from chronolex.plans.materialize import materialize
 
+#: Characters of a speaker's texts that are worked on in one task; speakers with more are spread.
+HOT_CHARS = 4_000_000
 SIZES = (2, 3, 4, 5)
 STRIPPED = " .,;:\"'()[]{}"
 
@@ -33,9 +45,93 @@ def semantic_key(normalized: Column) -> Column:
 
 
 
+_TOKEN = re.compile(r"[A-Za-z][A-Za-z\-']+")
+
+
+def signals_of(days: list[int | None], bodies: list[str | None], top: int, within_days: int, ontology: Ontology, history: bool) -> list[tuple[int, int, str, int, int]]:
+    """``(document, rank, phrase, current, past)`` of the rarest runs of one speaker's documents (without ``history``: of documents by themselves)."""
+    code: dict[str, int] = defaultdict()
+    code.default_factory = code.__len__
+    each = [np.fromiter(map(code.__getitem__, " ".join(_TOKEN.findall(t)).lower().split()), dtype=np.int64) if t else np.empty(0, dtype=np.int64) for t in bodies]
+    sizes = np.array([len(e) for e in each], dtype=np.int64)
+    word = np.concatenate(each) if each else np.empty(0, dtype=np.int64)
+    if not len(word):
+        return []
+    spelled = list(code)
+    stop, low = set(ontology.stopwords), set(ontology.low_signal)
+    doc = np.repeat(np.arange(len(each)), sizes)
+    end = np.cumsum(sizes)[doc]
+    content = np.concatenate([[0], np.cumsum(np.array([w not in stop for w in spelled])[word])])
+    # runs get numbers from those of the runs a word shorter, so equal numbers are equal runs
+    found, known, run = [], 0, word
+    for n in SIZES:
+        m = len(word) - n + 1
+        if m <= 0:
+            break
+        run = np.unique(run[:m] * len(spelled) + word[n - 1 :], return_inverse=True)[1]
+        at = np.nonzero((np.arange(m) + n <= end[:m]) & (content[n:] - content[:m] >= 2))[0]
+        found.append((at, run[at] + known, np.full(len(at), n)))
+        known += int(run.max()) + 1
+    at, run, n = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, dtype=np.int64),) * 3
+    _, first, current = np.unique(doc[at] * known + run, return_index=True, return_counts=True)
+    at, run, n, of = at[first], run[first], n[first], doc[at[first]]
+    past = np.zeros(len(at), dtype=np.int64)
+    if history:
+        day = np.array([np.nan if d is None else d for d in days], dtype=float)[of]
+        dated = np.nonzero(~np.isnan(day))[0]
+        if len(dated):
+            least, span = int(np.nanmin(day)), int(np.nanmax(day) - np.nanmin(day)) + 1
+            d, g = day[dated].astype(np.int64) - least, run[dated] * span
+            order = np.argsort(g + d, kind="stable")
+            place, total = (g + d)[order], np.concatenate([[0], np.cumsum(current[dated][order])])
+            past[dated] = total[np.searchsorted(place, g + d)] - total[np.searchsorted(place, g + np.maximum(d - within_days, 0))]
+        others = np.isnan(day)
+        past[others] = (np.bincount(run, current, known).astype(np.int64)[run] - current)[others]
+    score = current / (past + 1) * np.log(current + 1.5)
+    order = np.lexsort((at, n, -score, of))
+    rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+    out, taken = [], defaultdict(int)
+    for i in order[rank < top + len(low)].tolist():
+        phrase = " ".join([spelled[w] for w in word[at[i] : at[i] + n[i]].tolist()])
+        k = int(of[i])
+        if phrase not in low and taken[k] < top:
+            taken[k] += 1
+            out.append((k, taken[k], phrase, int(current[i]), int(past[i])))
+    return out
+
+
+def _table(keys: pa.Array, rows: list[tuple[int, int, str, int, int]]) -> list[pa.Array]:
+    at, rank, phrase, current, past = zip(*rows) if rows else ((),) * 5
+    return [keys.take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array(phrase, pa.string()), pa.array(current, pa.int32()), pa.array(past, pa.int32())]
+
+
+def _gathered(docs: DataFrame, top: int, within_days: int, ontology: Ontology) -> tuple[DataFrame, DataFrame]:
+    """``k, rank, phrase, current, past`` of documents with a speaker (whose texts fit a task), and of those without."""
+    names = ["k", "rank", "phrase", "current", "past"]
+    types = [docs.schema["k"].dataType, T.IntegerType(), T.StringType(), T.IntegerType(), T.IntegerType()]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types)])
+
+    def speaker(t: pa.Table) -> pa.Table:
+        rows = signals_of(t.column("d").to_pylist(), t.column("x").to_pylist(), top, within_days, ontology, True)
+        return pa.Table.from_arrays(_table(t.column("k").combine_chunks(), rows), names=names)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = b.column("x").to_pylist()
+            start = chars = 0
+            for i, t in enumerate(bodies):
+                chars += len(t or "")
+                if chars > HOT_CHARS // 4 or i == len(bodies) - 1:
+                    rows = signals_of([], bodies[start : i + 1], top, within_days, ontology, False)
+                    yield pa.RecordBatch.from_arrays(_table(b.column("k").slice(start, i + 1 - start), rows), names=names)
+                    start, chars = i + 1, 0
+
+    named = docs.filter("s is not null").select("s", "k", "d", "x").groupBy("s").applyInArrow(speaker, schema)
+    return named, docs.filter("s is null").select("k", "x").mapInArrow(alone, schema)
+
 
 def _runs(documents: DataFrame, keep: tuple[str, ...], text_col: str, ontology: Ontology) -> DataFrame:
-    """``keep, n, pos, h``: a row for each run of each document, ``h`` its hash.
+    """``keep, place, g1, g2``: a row for each run of each document, by the hashes of speaker (``s``) and run; ``place`` orders by size, then position.
 
     A run needs two words that aren't stopwords and isn't a low-signal phrase.
     """
@@ -52,12 +148,31 @@ def _runs(documents: DataFrame, keep: tuple[str, ...], text_col: str, ontology:
         phrase = F.concat_ws(" ", *[named[i]["w"] for i in range(n)])
         choices.append(F.when(named[n - 1].isNotNull() & (content >= 2), F.struct(F.lit(n).alias("n"), phrase.alias("phrase"))))
     out = rows.select(*keep, "pos", F.explode(F.array_compact(F.array(*choices))).alias("g")).filter(~F.col("g.phrase").isin(ontology.low_signal))
-    return out.select(*keep, "g.n", "pos", F.xxhash64("g.phrase").alias("h"))
+    place = F.shiftleft(F.col("g.n").cast("long"), 32) + F.col("pos")
+    return out.select(*keep, place.alias("place"), F.xxhash64("s", "g.phrase").alias("g1"), F.xxhash64("g.phrase", "s", F.lit(1)).alias("g2"))
+
+
+def _spread(docs: DataFrame, top: int, within_days: int, ontology: Ontology) -> DataFrame:
+    """``k, rank, phrase, current, past`` of documents with a speaker, however many."""
+    runs = _runs(docs, ("k", "s", "d"), "x", ontology)
+    counts = runs.groupBy("k", "d", "g1", "g2").agg(F.count("*").cast("int").alias("current"), F.min("place").alias("place"))
+    # by days: a run of a speaker has no more rows in the window than there are days
+    daily = counts.groupBy("g1", "g2", "d").agg(F.sum("current").alias("n"))
+    before = Window.partitionBy("g1", "g2").orderBy("d").rangeBetween(-within_days, -1)
+    pasts = daily.filter("d is not null").withColumn("past", F.sum("n").over(before)).filter("past > 0").drop("n")
+    totals = daily.groupBy("g1", "g2").agg(F.sum("n").alias("past"))
+    dated = counts.filter("d is not null").join(pasts, ["g1", "g2", "d"], "left").select("k", "place", "current", F.coalesce("past", F.lit(0)).alias("past"))
+    undated = counts.filter("d is null").join(totals, ["g1", "g2"]).select("k", "place", "current", (F.col("past") - F.col("current")).alias("past"))
+    scored = dated.unionByName(undated).withColumn("r", rarity(F.col("current"), F.col("past")))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("r"), "place"))).filter(F.col("rank") <= top)
+    size, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    said = docs.select("k", tokens(F.col("x")).alias("_t"))
+    return ranked.join(said, "k").select("k", "rank", F.array_join(F.slice("_t", pos + 1, size), " ").alias("phrase"), "current", F.col("past").cast("int").alias("past"))
 
 
 def phrase_signals(
     documents: DataFrame, key: str = "doc_id", speaker: str = "speaker_name", day: str = "speech_date", text_col: str = "normalized_text",
-    within_days: int = 730, top: int = 20, ontology: Ontology = DEFAULT,
+    within_days: int = 730, top: int = 20, ontology: Ontology = DEFAULT, hot_chars: int = HOT_CHARS,
 ) -> DataFrame:
     """The ``top`` rarest runs of each document.
 
@@ -66,25 +181,13 @@ def phrase_signals(
     without date has all other documents of its speaker for history, one without speaker none. Ties go to
     shorter runs, then to earlier ones.
     """
-    who = F.when(F.col(speaker).isNotNull(), F.xxhash64(speaker)).alias("s")
-    base = documents.select(F.col(key).alias("k"), who, F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("d"), F.col(text_col).alias("_x"))
-    runs = _runs(base, ("k", "s", "d"), "_x", ontology).repartition("s", "h")
-    counts = runs.groupBy("k", "s", "d", "n", "h").agg(F.count("*").cast("int").alias("current_count"), F.min("pos").alias("pos"))
-    before = Window.partitionBy("s", "h").orderBy("d").rangeBetween(-within_days, -1)
-    everything = Window.partitionBy("s", "h")
-    # null days sort apart and form no range, so both sums come from one sort
-    history = (
-        F.when(F.col("s").isNull(), F.lit(0))
-        .when(F.col("d").isNotNull(), F.sum("current_count").over(before))
-        .otherwise(F.sum("current_count").over(everything) - F.col("current_count"))
-    )
-    scored = counts.withColumn("past", F.coalesce(history, F.lit(0)).cast("int")).withColumn("r", rarity(F.col("current_count"), F.col("past")))
-    order = Window.partitionBy("k").orderBy(F.desc("r"), "n", "pos")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    said = documents.select(F.col(key).alias("k"), tokens(F.col(text_col)).alias("_t"))
-    worded = ranked.join(said, "k").withColumn("phrase", F.array_join(F.slice("_t", F.col("pos") + 1, F.col("n")), " "))
+    docs = documents.select(F.col(key).alias("k"), F.col(speaker).alias("s"), F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("d"), F.col(text_col).alias("x"))
+    size = F.sum(F.length("x")).alias("chars")
+    hot = materialize(docs.filter("s is not null").groupBy("s").agg(size).filter(F.col("chars") > hot_chars).select("s"), "hot-speakers")
+    few, alone = _gathered(docs.join(hot, "s", "left_anti"), top, within_days, ontology)
+    many = _spread(docs.join(hot, "s", "left_semi"), top, within_days, ontology)
     plain = normalized_phrase(F.col("phrase"))
-    return worded.select(
-        F.col("k").alias(key), "rank", F.col("phrase").alias("phrase_text"), plain.alias("normalized_phrase"), semantic_key(plain).alias("semantic_key"), "current_count",
-        F.col("past").alias("historical_count"), F.round("r", 4).alias("rarity_score"),
+    return few.unionByName(alone).unionByName(many).select(
+        F.col("k").alias(key), "rank", F.col("phrase").alias("phrase_text"), plain.alias("normalized_phrase"), semantic_key(plain).alias("semantic_key"), F.col("current").alias("current_count"),
+        F.col("past").alias("historical_count"), F.round(rarity(F.col("current"), F.col("past")), 4).alias("rarity_score"),
     )

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 import re
 from collections import Counter
 
@@ -105,6 +106,16 @@ def test_phrases(documents):
     assert len(top.semantic_key) == 12
 
 
+def test_hot_speakers_get_the_same_phrases(spark, documents):
+    words = "the rate of growth and inflation may rise in the spring federal reserve policy".split()
+    rng = random.Random(3)
+    rows = [(100 + i, rng.choice(["Ann", "Bob", None]), rng.choice([None, *map(day, (0, 3, 3, 500, 731, 1400))]), " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, speaker_name string, speech_date date, normalized_text string").unionByName(documents.select("doc_id", "speaker_name", "speech_date", "normalized_text"))
+    gathered, spread = (sorted(map(tuple, phrases.phrase_signals(df, hot_chars=n).collect())) for n in (phrases.HOT_CHARS, 0))
+    assert gathered == spread and len(gathered) > 500 and max(r[6] for r in gathered) > 3
+    assert phrases.phrase_signals(df.limit(0)).count() == 0
+
+
 def test_history_lowers_rarity(spark):
     r = [spark.range(1).select(phrases.rarity(F.lit(3), F.lit(h)).alias("r")).first().r for h in (0, 1, 5)]
     assert r == sorted(r, reverse=True) and r[0] == pytest.approx(3 * math.log(4.5))
