@@ -28,12 +28,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def drop_materialized(table: DataFrame | None = None) -> None:
     """Delete a table that :func:`materialize` gave and nothing reads any more; without one, every table of this driver."""
     for path, spark in [(p, s) for p, s in _written.items() if table is None or p == getattr(table, "_written_at", None)]:
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            remove_folder(spark, path)
         except Exception:  # the JVM may be gone already
             pass
         _written.pop(path, None)

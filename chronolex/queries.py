@@ -14,6 +14,7 @@ from chronolex.functions import ontology as O
 from chronolex.functions import text as X
 from chronolex.operators import artifacts, compare, fingerprint, normalize, phrases, shifts, similarity
 from chronolex.plans.corpus import Corpus
+from chronolex.plans.materialize import materialize, remove_folder
 from chronolex.plans.ship import ship
 from chronolex.plans.spread import spread
 from chronolex.sources import html, sites, store
@@ -733,7 +734,9 @@ def x2_streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = kept.read(table).groupBy(F.col(key).alias("document_key")).agg(F.count("*").alias(name))
         docs = docs.join(n, "document_key", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     last = kept.read("comparison_results").filter("comparison_type = 't_minus_1'").select("document_key", "base_doc_id", "summary")
-    return docs.join(last, "document_key", "left").drop("doc_id")
+    out = materialize(docs.join(last, "document_key", "left").drop("doc_id"), "streamed")
+    remove_folder(spark, where)  # the store was this query's own
+    return out
 
 
 @_query(

@@ -15,7 +15,8 @@ from chronolex.service.contract import success
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="chronolex")
-    top.add_argument("--documents", help="parquet table of documents")
+    top.add_argument("--documents", help="parquet table of documents, or with --store the folder of a store")
+    top.add_argument("--store", action="store_true", help="ask, and ingest into, the store in the folder")
     commands = top.add_subparsers(dest="command", required=True)
     for name, extra in {
         "timeline": {"--limit": (int, 10)}, "comparisons": {"--comparison-type": (str, None), "--limit": (int, 10)}, "phrases": {"--limit": (int, 20), "--min-rarity": (float, None)},
@@ -42,10 +43,11 @@ _METHODS = {
 }
 
 
-def run(argv: list[str], make_service: Callable[[str | None], Any]) -> dict[str, Any]:
+def run(argv: list[str], make_service: Callable[..., Any]) -> dict[str, Any]:
     """The envelope of a command."""
     args = vars(parser().parse_args(argv))
-    command, service = args.pop("command"), make_service(args.pop("documents"))
+    where, stored = args.pop("documents"), args.pop("store")
+    command, service = args.pop("command"), make_service(where, stored) if stored else make_service(where)
     if command == "serve":
         from chronolex.service.http import serve
 
@@ -62,9 +64,14 @@ def main() -> None:  # pragma: no cover
 
     from chronolex.service.facade import TextService
     from chronolex.session import local_session
+    from chronolex.sources.store import Store
 
     spark = local_session()
-    print(json.dumps(run(sys.argv[1:], lambda t: TextService(spark, spark.read.parquet(t) if t else None)), indent=2, default=str))
+
+    def make(where: str | None, stored: bool = False) -> TextService:
+        return TextService(spark, store=Store(spark, where)) if stored else TextService(spark, spark.read.parquet(where) if where else None)
+
+    print(json.dumps(run(sys.argv[1:], make), indent=2, default=str))
 
 
 if __name__ == "__main__":  # pragma: no cover

@@ -2,7 +2,8 @@
 
 An append keeps what is new by key: repeats within the batch go first (one row
 per key), then an anti join against the stored keys. The anti join
-reads the key column only, and of partitioned tables only the partitions of the batch.
+reads the key columns only, and of tables partitioned by a column that a key fixes
+(``partition_by``) only the partitions that the batch has.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolex.functions.text import slug
+from chronolex.operators.artifacts import latest_versions
 from chronolex.sources import sites
 
+COMPARISON_TYPES = ("t_minus_1", "window_75d", "window_24m")
+
 #: Table: the columns that make a row unique.
 KEYS: dict[str, list[str]] = {
     "speakers": ["speaker_key"],
@@ -52,7 +56,10 @@ class Store:
         return new_rows(rows, self.read(table), KEYS[table], order)
 
     def append(self, table: str, rows: DataFrame, order: list[str] | None = None, partition_by: list[str] | None = None) -> None:
-        writer = self.new_rows(table, rows, order).write.mode("append")
+        stored = self.read(table)
+        if stored is not None and partition_by:
+            stored = stored.join(rows.select(*partition_by).distinct(), partition_by, "left_semi")
+        writer = new_rows(rows, stored, KEYS[table], order).write.mode("append")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(table))
 
     def lookup(self, table: str, **equal: object) -> DataFrame:
@@ -107,6 +114,24 @@ def hydrate_documents(records: DataFrame) -> DataFrame:
     return records.select(*[changed.get(c, F.col(c)) for c in records.columns])
 
 
+def hydrate_fingerprints(fingerprints: DataFrame, themes: DataFrame, prompt_version: str | None = None, model_version: str | None = None) -> DataFrame:
+    """One row per document: its latest fingerprint (of the given versions), with its theme rows as a map; no themes give an empty map."""
+    rows = latest_versions(fingerprints, prompt_version, model_version)
+    fields = [c for c in themes.columns if c not in ("doc_id", "document_key", "theme", "ordinal", "prompt_version", "model_version", "created_at")]
+    entry = F.struct("theme", F.struct(*fields))
+    on = [c for c in ("doc_id", "prompt_version", "model_version") if c in themes.columns and c in rows.columns]
+    folded = themes.groupBy(*on).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("themes"))
+    out = rows.join(folded, on, "left")
+    return out.withColumn("themes", F.coalesce("themes", F.create_map().cast(out.schema["themes"].dataType)))
+
+
+def hydrate_comparisons(records: DataFrame) -> DataFrame:
+    """Comparisons whose lists are never null and whose unknown types fall back to the comparison with the previous document."""
+    lists = {c: F.coalesce(F.col(c), F.array().cast(f.dataType)) for f in records.schema if f.dataType.typeName() == "array" for c in [f.name]}
+    kind = F.when(F.col("comparison_type").isin(*COMPARISON_TYPES), F.col("comparison_type")).otherwise(COMPARISON_TYPES[0])
+    return records.withColumns(lists | {"comparison_type": kind})
+
+
 def hydrate_segments(records: DataFrame) -> DataFrame:
     kind = F.when(F.col("segment_type").isin(sites.SEGMENT_TYPES), F.col("segment_type")).otherwise("body")
     return records.withColumn("segment_type", kind)

@@ -72,24 +72,33 @@ def analyze_batch(store: Store, fresh: DataFrame, ontology: Ontology = DEFAULT)
     store.append("comparison_results", rows.select(*[c for c in rows.columns if c not in ("mine", "theirs")], noted, now), ["doc_id"])
 
 
-def ingest_pages(store: Store, pages: DataFrame, skip_seen: bool = True, ontology: Ontology = DEFAULT) -> None:
-    """Normalize, analyze and store the pages of one batch."""
-    stored = store.read("source_documents")
-    if skip_seen and stored is not None:
-        pages = skip_existing(pages, stored).filter("not skipped").drop("skipped")
-    documents = read_pages(pages, ("source_url",)).withColumn("created_at", F.current_timestamp())
-    documents = store.new_rows("source_documents", documents, ["source_url"]).persist()
-    fresh = store.new_rows("documents", documents.withColumn("doc_id", F.xxhash64("document_key")), ["source_url"]).persist()
+#: Columns of stored documents, whatever they came from.
+_DOCUMENT = ("document_key", "source_url", "source", "source_type", "content_type", "title", "speaker_name", "speech_date", "document_type", "normalized_text", "source_hash", "word_count")
+
+
+def ingest_documents(store: Store, documents: DataFrame, ontology: Ontology = DEFAULT) -> None:
+    """Analyze and store normalized documents; what is stored already is left as it is."""
+    rows = documents.select(*_DOCUMENT, F.current_timestamp().alias("created_at"))
+    sources = store.new_rows("source_documents", rows, ["source_url"]).persist()
+    fresh = store.new_rows("documents", sources.withColumn("doc_id", F.xxhash64("document_key")), ["source_url"]).persist()
     try:
         analyze_batch(store, fresh, ontology)
         store.append("document_segments", segments(fresh, "document_key"), ["text"])
         # after its analysis: a document that is stored counts as analyzed and as history
         store.append("documents", fresh, ["source_url"])
         # last: a source that is stored counts as done, so a batch cut short is done again
-        store.append("source_documents", documents.select("source_hash", "source_url", "content_type", "source_type", "created_at"), ["source_url"])
+        store.append("source_documents", sources.select("source_hash", "source_url", "content_type", "source_type", "created_at"), ["source_url"])
     finally:
         fresh.unpersist()
-        documents.unpersist()
+        sources.unpersist()
+
+
+def ingest_pages(store: Store, pages: DataFrame, skip_seen: bool = True, ontology: Ontology = DEFAULT) -> None:
+    """Normalize, analyze and store the pages of one batch."""
+    stored = store.read("source_documents")
+    if skip_seen and stored is not None:
+        pages = skip_existing(pages, stored).filter("not skipped").drop("skipped")
+    ingest_documents(store, read_pages(pages, ("source_url",)), ontology)
 
 
 def stream_pages(spark: SparkSession, folder: str, store: Store, checkpoint: str, max_files: int = 100, form: str = "json") -> StreamingQuery:
@@ -100,5 +109,3 @@ def stream_pages(spark: SparkSession, folder: str, store: Store, checkpoint: str
         ingest_pages(store, batch)
 
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
