@@ -31,9 +31,10 @@ TRAJECTORY_DOWN = ["worsening", "accelerating", "rising", "elevated", "persisten
 TONE_CAUTIOUS = ["uncertain", "careful", "cautious"]
 TONE_CONFIDENT = ["confident", "strong", "resilient"]
 
-STOPWORDS = (
-    "a an and are as at be by for from has have in is it its of on or that the their this to was we will with would our they i you he she them"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "their",
+    "this", "to", "was", "we", "will", "with", "would", "our", "they", "i", "you", "he", "she", "them",
+]
 
 STANCES = ["very_optimistic", "optimistic", "neutral", "concerned", "very_concerned"]
 TRAJECTORIES = ["improving_rapidly", "improving", "stable", "stable_negative", "worsening"]

@@ -41,7 +41,10 @@ def speaker_timeline(docs: DataFrame, themes: DataFrame, limit: int = 10, speake
     """The latest documents with tone and sorted themes, newest first per speaker."""
     names = themes.groupBy("doc_id").agg(F.array_sort(F.collect_set("theme")).alias("themes"))
     rows = latest_documents(docs, limit, speaker).join(names, "doc_id", "left")
-    return rows.select("speaker_name", "rn", "doc_id", "speech_date", "title", "overall_tone", F.coalesce("themes", F.array().cast("array<string>")).alias("themes"))
+    none = F.array().cast("array<string>")
+    # themes beside the ontology's, where the extractor names any
+    emergent = F.coalesce("emergent_themes", none) if "emergent_themes" in docs.columns else none
+    return rows.select("speaker_name", "rn", "doc_id", "speech_date", "title", "overall_tone", F.coalesce("themes", none).alias("themes"), emergent.alias("emergent_themes"))
 
 
 def recent_comparisons(comparisons: DataFrame, comparison_type: str | None = None, limit: int = 10, speaker: str | None = None) -> DataFrame:
@@ -182,3 +185,19 @@ def latest_versions(fingerprints: DataFrame, prompt_version: str | None = None,
 def theme_table(themes: DataFrame) -> DataFrame:
     """Theme rows for display: the first two quotes joined by a bar."""
     return themes.select("doc_id", "theme", "stance", "trajectory", "emphasis_score", "hedging_level", F.array_join(F.transform(F.slice("evidence", 1, 2), lambda e: e["quote"]), " | ").alias("evidence"))
+
+
+def change_table(comparisons: DataFrame) -> DataFrame:
+    """Rows of the comparisons' theme changes for display."""
+    rows = comparisons.select("doc_id", "comparison_type", F.explode("theme_changes").alias("c"))
+    return rows.select("doc_id", "comparison_type", "c.theme", "c.change_type", "c.strength", "c.uncertainty", "c.summary")
+
+
+def phrase_table(observations: DataFrame) -> DataFrame:
+    """Phrase rows for display."""
+    return observations.select("doc_id", "phrase_text", "normalized_phrase", "rarity_score", "current_count", "historical_count", "semantic_key")
+
+
+def ingest_counts(tried: DataFrame) -> DataFrame:
+    """``asked, ingested, skipped`` of URLs with ``skipped``."""
+    return tried.agg(F.count("*").alias("asked"), F.count_if(~F.col("skipped")).alias("ingested"), F.count_if("skipped").alias("skipped"))

@@ -149,6 +149,16 @@ def with_fallback(primary: DataFrame, valid_keys: DataFrame, heuristic: DataFram
     return primary.select(*columns, F.lit("model").alias("extractor")).unionByName(rest.select(*columns, F.lit("heuristic").alias("extractor")))
 
 
+#: Note of a document whose answer could not be used (fixed value).
+FALLBACK_NOTE = "Primary extractor failed and heuristic fallback was used: "
+
+
+def fallback_notes(answers: DataFrame, valid_keys: DataFrame, key: str = "doc_id", raw_col: str = "raw_response") -> DataFrame:
+    """``key, note`` of the documents that fall back, with the kind of failure: no JSON of themes, or a theme that isn't valid."""
+    kind = F.when(parse_response(F.col(raw_col))["themes"].isNull(), "JSONDecodeError").otherwise("ValidationError")
+    return answers.join(valid_keys.select(key).distinct(), key, "left_anti").select(key, F.concat(F.lit(FALLBACK_NOTE), kind).alias("note"))
+
+
 def render_prompt(template: str, values: dict[str, Column]) -> Column:
     """The template with each ``{name}`` replaced; nulls become empty."""
     out = F.lit(template)

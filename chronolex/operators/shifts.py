@@ -32,10 +32,29 @@ def significance(kind: Column, theme: Column, stance: Column, trajectory: Column
     )
 
 
+def interpretation(before: dict[str, Column], after: dict[str, Column], s: Column, t: Column, e: Column, h: Column) -> Column:
+    """What moved, in words: a sentence each for stance, trajectory, emphasis (by 2 or more) and hedging."""
+
+    def span(c: str) -> Column:
+        return F.concat(F.lit(" (from '"), before[c], F.lit("' to '"), after[c], F.lit("')"))
+
+    def way(d: Column, up: str, down: str) -> Column:
+        return F.when(d > 0, up).otherwise(down)
+
+    louder = F.concat(F.lit("Emphasis "), way(e, "increased", "decreased"), F.lit(" from "), before["emphasis_score"].cast("string"), F.lit("/10 to "), after["emphasis_score"].cast("string"), F.lit("/10"))
+    return F.concat_ws(
+        ". ",
+        F.when(s != 0, F.concat(F.lit("Stance shifted "), way(s, "more concerned", "more optimistic"), span("stance"))),
+        F.when(t != 0, F.concat(F.lit("Trajectory viewed as "), way(t, "worsening", "improving"), span("trajectory"))),
+        F.when(F.abs(e) >= 2, louder),
+        F.when(h != 0, F.concat(F.lit("Hedging "), way(h, "increased", "decreased"), span("hedging_level"))),
+    )
+
+
 def detect_shifts(pairs: DataFrame, themes: DataFrame) -> DataFrame:
     """All shifts of ``pairs`` (``base_doc_id, doc_id``): changed, orphaned and new themes.
 
-    ``base_doc_id, doc_id, theme, shift_type, significance``; orphaned themes had emphasis 3 or more
+    ``base_doc_id, doc_id, theme, shift_type, significance, interpretation`` (the last for changed themes); orphaned themes had emphasis 3 or more
     in the base (HIGH from 6), new themes have it in the target.
     """
     cols = ["stance", "trajectory", "emphasis_score", "hedging_level"]
@@ -46,13 +65,17 @@ def detect_shifts(pairs: DataFrame, themes: DataFrame) -> DataFrame:
     d = both.select(
         "base_doc_id", "doc_id", "theme", ordered_delta(STANCES, F.col("b_stance"), F.col("stance")).alias("s"), ordered_delta(TRAJECTORIES, F.col("b_trajectory"), F.col("trajectory")).alias("t"),
         (F.col("emphasis_score") - F.col("b_emphasis_score")).alias("e"), (hedging_score(F.col("hedging_level")) - hedging_score(F.col("b_hedging_level"))).alias("h"),
+        *cols, *["b_" + c for c in cols],
     )
     moved = d.filter("s <> 0 or t <> 0 or abs(e) >= 2 or h <> 0").withColumn("shift_type", shift_type(F.col("s"), F.col("t"), F.col("e"), F.col("h")))
     moved = moved.withColumn("significance", significance(F.col("shift_type"), F.col("theme"), F.col("s"), F.col("t"), F.col("e")))
 
+    sides = [{c: F.col(side + c) for c in cols} for side in ("b_", "")]
+    moved = moved.withColumn("interpretation", interpretation(*sides, *[F.col(c) for c in "steh"]))
+
     def one_sided(rows: DataFrame, other: DataFrame, keys: list[str], emphasis: str, kind: str) -> DataFrame:
         only = rows.filter(F.col(emphasis) >= 3).join(other.select(*keys, "theme"), [*keys, "theme"], "left_anti")
-        return only.select("base_doc_id", "doc_id", "theme", F.lit(kind).alias("shift_type"), F.when(F.col(emphasis) >= 6, "HIGH").otherwise("MEDIUM").alias("significance"))
+        return only.select("base_doc_id", "doc_id", "theme", F.lit(kind).alias("shift_type"), F.when(F.col(emphasis) >= 6, "HIGH").otherwise("MEDIUM").alias("significance"), F.lit(None).cast("string").alias("interpretation"))
 
     orphaned = one_sided(before, t, ["doc_id"], "b_emphasis_score", "ORPHANED_CONCEPT")
     new = one_sided(after, b, ["base_doc_id"], "emphasis_score", "NEW_THEME")

@@ -17,7 +17,8 @@ from chronolex.plans.corpus import Corpus
 from chronolex.plans.materialize import materialize, remove_folder
 from chronolex.plans.ship import ship
 from chronolex.plans.spread import spread
-from chronolex.sources import html, sites, store
+from chronolex.session import shared_dir
+from chronolex.sources import html, readers, sites, store
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -285,6 +286,45 @@ def s10_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.skip_existing(sources.select("id", "source_url"), stored).select("id", "source_url", "skipped")
 
 
+@_query(
+    """WITH t AS (SELECT EXISTS (SELECT 1 FROM source_documents x WHERE x.source_url = trim(s.source_url) AND x.source_type = 'url' AND x.fetched_at < TIMESTAMP '2020-01-01') AS skipped FROM source_documents s WHERE trim(source_url) <> '')
+SELECT count(*) AS asked, count(*) FILTER (WHERE NOT skipped) AS ingested, count(*) FILTER (WHERE skipped) AS skipped FROM t"""
+)
+def a5_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts.ingest_counts(s10_skip_existing(spark, sf_dir))
+
+
+@_query("SELECT DISTINCT trim(source_url) AS source_url FROM source_documents WHERE trim(source_url) <> ''")
+def s4_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All URLs written to a list with comments and blank lines among them, and read from it."""
+    import uuid
+
+    urls = _t(spark, sf_dir, "source_documents").select(F.trim("source_url").alias("u")).filter("u <> ''").distinct()
+    path = f"{shared_dir(spark)}/chronolex/urls-{uuid.uuid4().hex}"
+    urls.select(F.explode(F.array(F.concat(F.lit("# "), "u"), F.lit("  "), F.concat(F.lit(" "), "u"))).alias("value")).write.text(path)
+    out = materialize(readers.read_url_list(spark, path), "urls")
+    remove_folder(spark, path)
+    return out
+
+
+_CLEANED = f"""m AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN nullif(title, '') END AS title, CASE WHEN doc_id % 3 > 0 THEN nullif(speaker_name, '') END AS speaker_name, CASE WHEN doc_id % 5 > 0 THEN speech_date END AS speech_date,
+  CASE WHEN doc_id % 7 > 0 THEN document_type END AS document_type, nullif(source, '') AS source,
+  {_strip("regexp_replace(regexp_replace(replace(replace(coalesce(normalized_text, ''), chr(160), ' '), chr(13), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g')")} AS normalized_text FROM documents)"""
+
+
+@_query(
+    f"""WITH {_CLEANED}, k AS ({_SQL['n6_document_type'].replace('FROM documents', 'FROM m')}), n AS ({_SQL['n9_extract_speaker'].replace('FROM documents', 'FROM m')}), dt AS ({_SQL['n8_extract_date'].replace('FROM documents', 'FROM m')})
+SELECT m.doc_id, m.title, coalesce(m.speaker_name, n.speaker) AS speaker_name, coalesce(CAST(m.speech_date AS VARCHAR), dt.found_date) AS speech_date, coalesce(m.document_type, k.detected_type) AS document_type, m.source, 'markdown' AS content_type
+FROM m JOIN k USING (doc_id) JOIN n USING (doc_id) JOIN dt USING (doc_id)"""
+)
+def s2_markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with metadata that tell some of their fields; the others are found in the text."""
+    told = {"title": "doc_id % 2 = 0", "speaker_name": "doc_id % 3 > 0", "speech_date": "doc_id % 5 > 0", "document_type": "doc_id % 7 > 0", "source": "true"}
+    pairs = [x for c, when in told.items() for x in (F.lit(c), F.when(F.expr(when), F.col(c).cast("string")))]
+    texts = _docs(spark, sf_dir).select("doc_id", F.col("normalized_text").alias("markdown_text"), F.create_map(*pairs).alias("metadata"))
+    return normalize.normalize_markdown(texts).select("doc_id", "title", "speaker_name", F.col("speech_date").cast("string").alias("speech_date"), "document_type", "source", "content_type")
+
+
 @_query("SELECT id, name, institution FROM speakers WHERE speaker_key = 'henrik_lunvrabane' LIMIT 1")
 def s7_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "speakers").filter("speaker_key = 'henrik_lunvrabane'").limit(1).select("id", "name", "institution")
@@ -380,6 +420,28 @@ def f17_answers_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_fallback(parsed, parsed, themes).select("doc_id", "theme", "stance", "trajectory", "emphasis_score", "hedging_level", "extractor")
 
 
+@_query(
+    f"""WITH {_THEMES} SELECT DISTINCT doc_id, '{fingerprint.FALLBACK_NOTE}' || CASE WHEN doc_id % 7 = 0 THEN 'JSONDecodeError' ELSE 'ValidationError' END AS note FROM themes WHERE doc_id % 5 = 0 OR doc_id % 7 = 0"""
+)
+def f17_fallback_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes of documents whose answers could not be used."""
+    _, answers = _answers(spark, sf_dir)
+    return fingerprint.fallback_notes(answers, fingerprint.response_themes(answers))
+
+
+@_query(
+    f"""WITH {_TONES}, f AS (SELECT doc_id, created_at, 'v1' AS v FROM documents UNION ALL SELECT doc_id, created_at + INTERVAL 1 DAY, 'v2' FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, v AS prompt_version, overall_tone FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY created_at DESC NULLS LAST, v DESC) AS n FROM f) JOIN tones USING (doc_id) WHERE n = 1"""
+)
+def j4_latest_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest of each document's fingerprints; every second document has one of a later version."""
+    docs = _docs(spark, sf_dir)
+    first = docs.select("doc_id", "created_at", fingerprint.tone(X.sentences(F.col("normalized_text")), O.DEFAULT).alias("overall_tone"), F.lit("v1").alias("prompt_version"))
+    later = first.filter("doc_id % 2 = 0").withColumns({"created_at": F.col("created_at") + F.expr("interval 1 day"), "prompt_version": F.lit("v2")})
+    rows = first.unionByName(later).withColumn("fingerprint_id", F.col("prompt_version"))
+    return artifacts.latest_versions(rows).select("doc_id", "prompt_version", "overall_tone")
+
+
 # --- phrases ---
 
 _GRAMS = f"""
@@ -460,6 +522,11 @@ def c15_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "base_doc_id", "comparison_type", F.coalesce("window_days", F.lit(0)).alias("window_days"), "n_changes", _bar("new_themes").alias("new_themes"), _bar("orphaned").alias("orphaned"), "n_phrases", _bar("phrase_anomalies.phrase_text").alias("phrase_anomalies"), "summary")
 
 
+def _no_phrases(c: Corpus) -> DataFrame:
+    """For queries of comparisons that show nothing of phrases."""
+    return c.docs.select("doc_id", F.lit(1).alias("rank"), *[F.lit("").alias(n) for n in ("phrase_text", "semantic_key")], F.lit(0.0).alias("rarity_score")).limit(0)
+
+
 @_query(
     f"""WITH {_THEMES}, {_PREVIOUS}, {_CHANGES}, quoted AS (SELECT doc_id, theme, array_to_string(list_transform(m[1:2], lambda s: substring(s, 1, 280)), ' | ') AS q FROM themes)
 SELECT c.doc_id, c.theme, b.q AS evidence_before, a.q AS evidence_after FROM changes c JOIN quoted a ON a.doc_id = c.doc_id AND a.theme = c.theme JOIN quoted b ON b.doc_id = c.base_doc_id AND b.theme = c.theme WHERE severity > 0"""
@@ -467,8 +534,7 @@ SELECT c.doc_id, c.theme, b.q AS evidence_before, a.q AS evidence_after FROM cha
 def c7_change_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quotes that the comparisons with the previous document carry for each changed theme."""
     c = _corpus(spark, sf_dir)
-    none = c.docs.select("doc_id", F.lit(1).alias("rank"), *[F.lit("").alias(n) for n in ("phrase_text", "semantic_key")], F.lit(0.0).alias("rarity_score")).limit(0)
-    rows = c.comparisons(none).filter("comparison_type = 't_minus_1'").select("doc_id", F.explode("theme_changes").alias("t"))
+    rows = c.comparisons(_no_phrases(c)).filter("comparison_type = 't_minus_1'").select("doc_id", F.explode("theme_changes").alias("t"))
     said = [F.array_join(F.transform(f"t.evidence_{side}", lambda e: e["quote"]), " | ").alias(f"evidence_{side}") for side in ("before", "after")]
     return rows.select("doc_id", "t.theme", *said)
 
@@ -504,7 +570,22 @@ UNION ALL SELECT p.base_doc_id, p.doc_id, t.theme, 'NEW_THEME', CASE WHEN t.emph
 @_query(f"WITH {_THEMES}, {_PREVIOUS}, {_SHIFTS} {_SHIFT_ROWS}")
 def l6_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _corpus(spark, sf_dir)
-    return shifts.detect_shifts(compare.previous_documents(c.docs).filter("base_doc_id is not null"), c.themes)
+    return shifts.detect_shifts(compare.previous_documents(c.docs).filter("base_doc_id is not null"), c.themes).drop("interpretation")
+
+
+@_query(
+    f"""WITH {_THEMES}, {_PREVIOUS}, {_CHANGES}, hedged AS (SELECT doc_id, theme, hedging_level AS l FROM themes), q AS (SELECT chr(39) AS q)
+SELECT c.doc_id, c.theme, concat_ws('. ', CASE WHEN s <> 0 THEN concat('Stance shifted ', CASE WHEN s > 0 THEN 'more concerned' ELSE 'more optimistic' END, ' (from ', q, bs, q, ' to ', q, ts, q, ')') END,
+  CASE WHEN tr <> 0 THEN concat('Trajectory viewed as ', CASE WHEN tr > 0 THEN 'worsening' ELSE 'improving' END, ' (from ', q, bt, q, ' to ', q, tt, q, ')') END,
+  CASE WHEN abs(e) >= 2 THEN concat('Emphasis ', CASE WHEN e > 0 THEN 'increased' ELSE 'decreased' END, ' from ', be, '/10 to ', te, '/10') END,
+  CASE WHEN h <> 0 THEN concat('Hedging ', CASE WHEN h > 0 THEN 'increased' ELSE 'decreased' END, ' (from ', q, b.l, q, ' to ', q, a.l, q, ')') END) AS interpretation
+FROM changes c CROSS JOIN q JOIN hedged a ON a.doc_id = c.doc_id AND a.theme = c.theme JOIN hedged b ON b.doc_id = c.base_doc_id AND b.theme = c.theme WHERE severity > 0"""
+)
+def l4_interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What moved between each document and its previous one, in words."""
+    c = _corpus(spark, sf_dir)
+    rows = shifts.detect_shifts(compare.previous_documents(c.docs).filter("base_doc_id is not null"), c.themes)
+    return rows.filter("interpretation is not null").select("doc_id", "theme", "interpretation")
 
 
 @_query(f"WITH {_THEMES}, q AS (SELECT doc_id, theme, normalized_text, unnest(m[1:3]) AS s FROM themes) SELECT doc_id, theme, count(*) AS n, CAST(sum(CASE WHEN contains(normalized_text, substring(s, 1, 280)) THEN 1 ELSE 0 END) AS BIGINT) AS verified FROM q GROUP BY 1, 2")
@@ -551,7 +632,7 @@ SELECT r.speaker_name, CAST(rn AS INTEGER) AS rn, doc_id, CAST(speech_date AS VA
 )
 def q1_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus.latest(_docs(spark, sf_dir), 10)
-    return artifacts.speaker_timeline(c.docs, c.themes).withColumns({"speech_date": F.col("speech_date").cast("string"), "themes": _bar("themes")})
+    return artifacts.speaker_timeline(c.docs, c.themes).withColumns({"speech_date": F.col("speech_date").cast("string"), "themes": _bar("themes")}).drop("emergent_themes")
 
 
 @_query(
@@ -698,6 +779,18 @@ def s14_theme_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.theme_table(fingerprint.theme_assessments(_docs(spark, sf_dir)))
 
 
+@_query("SELECT document_id AS doc_id, phrase_text, normalized_phrase, rarity_score, current_count, historical_count, semantic_key FROM phrase_observations")
+def s14_phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts.phrase_table(_observed(spark, sf_dir))
+
+
+@_query(f"SELECT doc_id, 't_minus_1' AS comparison_type, theme, change_type, strength, uncertainty, summary FROM ({_SQL['c13_theme_changes']})")
+def s14_change_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _corpus(spark, sf_dir)
+    rows = c.comparisons(_no_phrases(c))
+    return artifacts.change_table(rows.filter("comparison_type = 't_minus_1'"))
+
+
 @_query(
     f"WITH {_THEMES}, {_PREVIOUS} SELECT p.doc_id, p.base_doc_id, x.title AS target_title, CAST(x.speech_date AS VARCHAR) AS target_date, y.title AS base_title, CAST(y.speech_date AS VARCHAR) AS base_date FROM previous p JOIN documents x ON x.doc_id = p.doc_id JOIN documents y ON y.doc_id = p.base_doc_id"
 )
@@ -721,7 +814,6 @@ def x2_streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fetched pages streamed into a store of their own (every file once), then its documents with what their analysis stored."""
     import uuid
 
-    from chronolex.session import shared_dir
     from chronolex.streaming.incremental import stream_pages
 
     where = f"{shared_dir(ship(spark))}/chronolex/streamed-{uuid.uuid4().hex}"

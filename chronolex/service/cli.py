@@ -31,6 +31,11 @@ def parser() -> argparse.ArgumentParser:
     question.add_argument("question")
     manifest = commands.add_parser("ingest")
     manifest.add_argument("manifest")
+    job = commands.add_parser("schedule", help="one ingestion run, as a scheduler calls it")
+    what = job.add_mutually_exclusive_group(required=True)
+    what.add_argument("--urls-file")
+    what.add_argument("--manifest")
+    job.add_argument("--no-skip-existing", action="store_true")
     server = commands.add_parser("serve")
     server.add_argument("--host", default="127.0.0.1")
     server.add_argument("--port", type=int, default=8000)
@@ -53,7 +58,11 @@ def run(argv: list[str], make_service: Callable[..., Any]) -> dict[str, Any]:
 
         serve(service, args["host"], args["port"])
         return success(None, command, "cli")
-    if command == "ingest":
+    if command == "schedule" and args["urls_file"]:
+        with open(args["urls_file"], encoding="utf-8") as f:
+            urls = [u for u in (line.strip() for line in f) if u and not u.startswith("#")]
+        return success(service.ingest_urls(urls, skip_existing=not args["no_skip_existing"]), command, "cli")
+    if command in ("ingest", "schedule"):
         with open(args["manifest"], encoding="utf-8") as f:
             return success(service.run_manifest(json.load(f)), command, "cli")
     return success(getattr(service, _METHODS[command])(**args), command, "cli")
