@@ -26,8 +26,8 @@ from chronolex.functions.ontology import DEFAULT, Ontology
 from chronolex.functions.text import texts, tokens
 from chronolex.plans.materialize import materialize
 
-#: Characters of a speaker's texts that are worked on in one task; speakers with more are spread.
-HOT_CHARS = 4_000_000
+#: Characters of a speaker's texts that are worked on in one task (about 20 bytes of arrays each); speakers with more are spread.
+HOT_CHARS = 16_000_000
 SIZES = (2, 3, 4, 5)
 STRIPPED = " .,;:\"'()[]{}"
 
@@ -62,44 +62,61 @@ def signals_of(days: list[int | None], bodies: list[str | None], top: int, withi
     doc = np.repeat(np.arange(len(each)), sizes)
     end = np.cumsum(sizes)[doc]
     content = np.concatenate([[0], np.cumsum(np.array([w not in stop for w in spelled])[word])])
-    # runs get numbers from those of the runs a word shorter, so equal numbers are equal runs
-    found, known, run = [], 0, word
+    day = np.array([np.nan if d is None else d for d in days], dtype=float) if history else None
+    kept, run = [], word
     for n in SIZES:
         m = len(word) - n + 1
         if m <= 0:
             break
+        # runs get numbers from those of the runs a word shorter, so equal numbers are equal runs
         run = np.unique(run[:m] * len(spelled) + word[n - 1 :], return_inverse=True)[1]
         at = np.nonzero((np.arange(m) + n <= end[:m]) & (content[n:] - content[:m] >= 2))[0]
-        found.append((at, run[at] + known, np.full(len(at), n)))
-        known += int(run.max()) + 1
-    at, run, n = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, dtype=np.int64),) * 3
-    _, first, current = np.unique(doc[at] * known + run, return_index=True, return_counts=True)
-    at, run, n, of = at[first], run[first], n[first], doc[at[first]]
-    past = np.zeros(len(at), dtype=np.int64)
-    if history:
-        day = np.array([np.nan if d is None else d for d in days], dtype=float)[of]
-        dated = np.nonzero(~np.isnan(day))[0]
-        if len(dated):
-            least, span = int(np.nanmin(day)), int(np.nanmax(day) - np.nanmin(day)) + 1
-            d, g = day[dated].astype(np.int64) - least, run[dated] * span
-            order = np.argsort(g + d, kind="stable")
-            place, total = (g + d)[order], np.concatenate([[0], np.cumsum(current[dated][order])])
-            past[dated] = total[np.searchsorted(place, g + d)] - total[np.searchsorted(place, g + np.maximum(d - within_days, 0))]
-        others = np.isnan(day)
-        past[others] = (np.bincount(run, current, known).astype(np.int64)[run] - current)[others]
-    score = current / (past + 1) * np.log(current + 1.5)
+        known = int(run.max()) + 1
+        _, first, current = np.unique(doc[at] * known + run[at], return_index=True, return_counts=True)
+        at = at[first]
+        of, past = doc[at], np.zeros(len(at), dtype=np.int64)
+        if history:
+            past = _past(run[at], day[of], current, within_days)
+        score = current / (past + 1) * np.log(current + 1.5)
+        # of each size only what can be among the rarest goes on
+        best = _best(of, score, at, top + len(low))
+        kept.append([x[best] for x in (of, score, np.full(len(at), n), at, current, past)])
+    of, score, n, at, current, past = (np.concatenate(x) for x in zip(*kept)) if kept else (np.empty(0, dtype=np.int64),) * 6
     order = np.lexsort((at, n, -score, of))
-    rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
     out, taken = [], defaultdict(int)
-    for i in order[rank < top + len(low)].tolist():
-        phrase = " ".join([spelled[w] for w in word[at[i] : at[i] + n[i]].tolist()])
+    for i in order.tolist():
         k = int(of[i])
-        if phrase not in low and taken[k] < top:
-            taken[k] += 1
-            out.append((k, taken[k], phrase, int(current[i]), int(past[i])))
+        if taken[k] < top:
+            phrase = " ".join([spelled[w] for w in word[at[i] : at[i] + n[i]].tolist()])
+            if phrase not in low:
+                taken[k] += 1
+                out.append((k, taken[k], phrase, int(current[i]), int(past[i])))
     return out
 
 
+def _past(run: np.ndarray, day: np.ndarray, current: np.ndarray, within_days: int) -> np.ndarray:
+    """How often each run stood in the days before (in all other documents, where there is no day)."""
+    past = np.zeros(len(run), dtype=np.int64)
+    others = np.isnan(day)
+    dated = np.nonzero(~others)[0]
+    if len(dated):
+        least, span = int(day[dated].min()), int(day[dated].max() - day[dated].min()) + 1
+        d, start = day[dated].astype(np.int64) - least, run[dated] * span
+        order = np.argsort(start + d, kind="stable")
+        place, total = (start + d)[order], np.concatenate([[0], np.cumsum(current[dated][order])])
+        past[dated] = total[np.searchsorted(place, start + d)] - total[np.searchsorted(place, start + np.maximum(d - within_days, 0))]
+    if others.any():
+        past[others] = (np.bincount(run, current).astype(np.int64)[run] - current)[others]
+    return past
+
+
+def _best(of: np.ndarray, score: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """Indices of each document's ``most`` greatest scores, the earlier ones first of equal ones."""
+    order = np.lexsort((at, -score, of))
+    ranked = of[order]
+    return order[np.arange(len(order)) - np.searchsorted(ranked, ranked) < most]
+
+
 def _table(keys: pa.Array, rows: list[tuple[int, int, str, int, int]]) -> list[pa.Array]:
     at, rank, phrase, current, past = zip(*rows) if rows else ((),) * 5
     return [keys.take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array(phrase, pa.string()), pa.array(current, pa.int32()), pa.array(past, pa.int32())]
@@ -121,7 +138,7 @@ def _gathered(docs: DataFrame, top: int, within_days: int, ontology: Ontology) -
             start = chars = 0
             for i, t in enumerate(bodies):
                 chars += len(t or "")
-                if chars > HOT_CHARS // 4 or i == len(bodies) - 1:
+                if chars > HOT_CHARS // 16 or i == len(bodies) - 1:
                     rows = signals_of([], bodies[start : i + 1], top, within_days, ontology, False)
                     yield pa.RecordBatch.from_arrays(_table(b.column("k").slice(start, i + 1 - start), rows), names=names)
                     start, chars = i + 1, 0
