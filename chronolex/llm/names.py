@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolex.plans.components import connected_components
-from chronolex.plans.materialize import materialize
+from chronolex.plans.materialize import drop_materialized, materialize
 
 ROLES = set(
     "chair chairman chairwoman chairperson vice first second president governor director of research senior junior adviser advisor professor prof "
@@ -388,6 +388,7 @@ def resolve_names(names: DataFrame, register: DataFrame, name_col: str = "speake
         if sole.isEmpty():
             break
         found.append(sole)
+        before = (members, open_, fits)
         merged = open_.join(sole, "rid").select("pid", *open_.columns)
         members = materialize(members.unionByName(merged), "profile-members")
         open_ = materialize(open_.join(sole, "rid", "left_anti"), "spellings")
@@ -396,6 +397,8 @@ def resolve_names(names: DataFrame, register: DataFrame, name_col: str = "speake
         kept = fits.join(sole, "rid", "left_anti").join(richer, "pid", "left_anti")
         again = _fits(open_, _profiles(members.join(richer, "pid", "left_semi")))
         fits = materialize(kept.unionByName(again.select(*kept.columns)), "fits")
+        for table in before:
+            drop_materialized(table)
     if not found:
         return members.limit(0).select(F.col("rid").alias(name_col), F.col("pid").alias("speaker_id"))
     out = found[0]

@@ -31,7 +31,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolex.plans.materialize import materialize
+from chronolex.plans.materialize import drop_materialized, materialize
 
 #: Characters cut from both ends of a line (fixed by the definition of a form), with the blank.
 EDGE = "-–—*•|·>»:.,; "
@@ -80,6 +80,7 @@ class PrefixSpan:
         near = F.lead("seq").over(by_row) - F.col("seq") <= gap + 1
         items = kept.select("*", *[F.when(near, F.lead(c).over(by_row)).alias(n) for c, n in (("seq", "next"), ("h1", "l1"), ("h2", "l2"))])
         items = materialize(items, "items")
+        drop_materialized(lines)
         following = items.select("row", F.col("seq").alias("end"), "next", "l1", "l2").filter("next is not null")
         at = items.select("row", "doc", "src", "line_no", F.col("seq").alias("end"), F.col("h1").alias("p1"), F.col("h2").alias("p2"))
         self.places = at.select("row", "doc", "line_no", F.lit(1).alias("n_lines"))

@@ -55,3 +55,17 @@ def test_lenient_pages():
     blocks = boilerplate.read_page("<title>no</title><div class='a b'>one &amp; two<p>three<ul><li><a href=x>four</a></div>five<script>var x='<p>no';</script><nav>six</nav")
     assert [b.text for b in blocks][:4] == ["one & two", "three", "four", "five"]
     assert boilerplate.read_page("") == [] and boilerplate.block_roles([]) == []
+
+
+def test_all_words_of_a_long_line_speak():
+    words = "the board said that growth in the region had been held back by the weather".split()
+    line = " ".join(words + ["copyright"] + words)
+    assert "in:copyright" in boilerplate.features(line) and "in:copyright" not in boilerplate.features("copyright " + line.replace("copyright ", ""))
+    plain = boilerplate.fit([], [])
+    assert plain.odds(line) > plain.odds(line.replace("copyright", "weather"))
+
+
+def test_the_sample_is_bounded(spark):
+    pages = spark.createDataFrame([(i, page(i)) for i in range(20)], "id long, raw_content string")
+    assert boilerplate.train(pages).weights and boilerplate.train(pages, most=0).weights == boilerplate.fit([], []).weights
+    assert boilerplate.train(pages, chars=100).weights == boilerplate.fit([], []).weights

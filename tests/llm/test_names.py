@@ -48,3 +48,11 @@ def test_richer_profiles_match_more(spark):
     register = spark.createDataFrame([(1, "Robert Wylxaford", None)], "id long, name string, title string")
     documents = spark.createDataFrame([(1, "Rob Wylxafrod"), (2, "R. Wylxafrod")], "doc_id long, speaker_name string")
     assert {r.doc_id: r.speaker_id for r in names.link_documents(documents, register).collect()} == {1: 1, 2: 1}
+
+
+def test_short_forms_and_acronyms(spark):
+    assert names._given("lindi", "lindiwe") == 0.5 and names._given("li", "lindiwe") == 9 and names._given("bob", "robert") == 0.25
+    assert names.parse("A.B.C.D.E.F.G.H.")["letters"] == "abcdefgh" and names.parse("SMITHSON")["family"] == "smithson"
+    register = spark.createDataFrame([(1, "Ida Smith", None), (2, "Joint Committee on Money and Credit of Upper Hills Valley Town", "Institution")], "id long, name string, title string")
+    documents = spark.createDataFrame([(1, "SMITH"), (2, "JCMCUHVT"), (3, "J.C.M.C.U.H.V.T."), (4, "ZZTOP")], "doc_id long, speaker_name string")
+    assert {r.doc_id: r.speaker_id for r in names.link_documents(documents, register).collect()} == {1: 1, 2: 2, 3: 2}

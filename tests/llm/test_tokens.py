@@ -73,6 +73,18 @@ def test_exchange_fills_the_gap_more_tightly():
     assert first.sizes == {6: 1, 2: 2}
 
 
+def test_as_few_containers_as_best_fit_decreasing():
+    rng = np.random.default_rng(6)
+    for top in (60, 100):
+        sizes = sorted(rng.integers(1, top + 1, 3000).tolist(), reverse=True)
+        gaps: list[int] = []
+        for s in sizes:
+            fit = min((g for g in gaps if g >= s), default=None)
+            gaps.append((100 if fit is None else gaps.pop(gaps.index(fit))) - s)
+        used = sum(f.times for f in packing.best_two_fit(dict(zip(*np.unique(sizes, return_counts=True))), 100))
+        assert used <= len(gaps) * 1.01
+
+
 def test_pack(spark):
     sizes = [(i, n) for i, n in enumerate([0, None, 7, 7, 7, 3, 3, 100, 101, 250, 60, 40] + [5] * 300)]
     df = spark.createDataFrame(sizes, "doc_id long, n_tokens long").repartition(5)

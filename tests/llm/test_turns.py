@@ -66,6 +66,23 @@ def test_odd_names_are_assigned_to_unnamed_persons(spark):
     assert of(spark, rows) == [(4, 1, "krowikov", 1), (4, 2, "skecronor", 2), (5, 1, "krowikoff", 3)]
 
 
+def test_labels_are_placed_together():
+    roster = turns.Roster([("Karwick".lower(), "", ""), ("karwack", "", ""), ("delwivick", "", "chair")])
+    # one edit from two persons: the one whom no other label names
+    assert roster.place(["karwick", "karwuck"]) == {"karwick": "karwick", "karwuck": "karwack"}
+    assert roster.place(["karwack", "karwuck"]) == {"karwack": "karwack", "karwuck": "karwick"}
+    # several spellings of one person, and names of nobody
+    assert roster.place(["delwivick", "dellwivik", "delwivck", "somebody"]) == {"delwivick": "delwivick", "dellwivik": "delwivick", "delwivck": "delwivick"}
+    assert roster.resolve([("THE CHAIR", "n:"), ("Karwuck", "n:"), ("laughter", "k"), ("Compare", "n:")]) == [(True, "delwivick", None), (True, "karwick", None), (False, None, None), (False, None, None)]
+    assert turns.Roster([]).resolve([("A", "a"), ("MR. NEW", "n:")]) == [(True, None, None), (True, None, "new")]
+
+
+def test_words_of_what_is_no_label_count():
+    roster = turns.Roster(turns.read_header(HEAD[4]))
+    for text in ("So. [last year's] Marnitz (Ms.): two", "End.[some words]glued on", "New Words: here. Delwivick — no", "So. [x y][z w]c"):
+        assert [w for _, _, w in turns.stretches(text, None, roster)] == [sum(any(c.isalnum() for c in w) for w in text.split())], text
+
+
 def test_assignment_is_optimal():
     import random
 
