@@ -39,6 +39,43 @@ def test_speakers_and_hydration(spark):
     assert store.hydrate_segments(spark.createDataFrame([("odd",), ("answer",)], "segment_type string")).collect()[0].segment_type == "body"
 
 
+def test_hydrated_fingerprints_and_comparisons(spark):
+    heads = spark.createDataFrame(
+        [(1, "d1", "v1", "m", "calm", "2024-01-01", "f1"), (1, "d1", "v2", "m", "cautious", "2024-02-01", "f2"), (2, "d2", "v1", "m", "calm", None, "f3")],
+        "doc_id long, document_key string, prompt_version string, model_version string, overall_tone string, created_at string, fingerprint_id string",
+    )
+    themes = spark.createDataFrame([(1, "v2", "m", "X", "neutral", 3), (1, "v1", "m", "Y", "neutral", 4)], "doc_id long, prompt_version string, model_version string, theme string, stance string, emphasis_score int")
+    got = {r.doc_id: r for r in store.hydrate_fingerprints(heads, themes).collect()}
+    assert got[1].overall_tone == "cautious" and set(got[1].themes) == {"X"} and got[1].themes["X"].emphasis_score == 3 and got[2].themes == {}
+    assert set(store.hydrate_fingerprints(heads, themes, "v1").filter("doc_id = 1").first().themes) == {"Y"}
+    loose = spark.createDataFrame([("odd", None, ["a"]), ("window_75d", ["b"], None)], "comparison_type string, orphaned array<string>, new_themes array<string>")
+    assert [tuple(r) for r in store.hydrate_comparisons(loose).collect()] == [("t_minus_1", [], ["a"]), ("window_75d", ["b"], [])]
+
+
+def test_append_to_a_partitioned_table(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    rows = lambda *r: spark.createDataFrame(list(r), "source_hash string, day string")
+    s.append("source_documents", rows(("a", "1"), ("b", "2")), ["day"], ["day"])
+    s.append("source_documents", rows(("a", "1"), ("c", "1"), ("c", "1")), ["day"], ["day"])
+    assert sorted((r.source_hash, str(r.day)) for r in s.read("source_documents").collect()) == [("a", "1"), ("b", "2"), ("c", "1")]
+
+
+def test_scheduled_run(tmp_path):
+    class Service:
+        def ingest_urls(self, urls, skip_existing):
+            return {"urls": urls, "skip": skip_existing}
+
+        def run_manifest(self, manifest):
+            return manifest
+
+    (tmp_path / "u.txt").write_text("# no\n\n https://a \n")
+    (tmp_path / "m.json").write_text('{"urls": []}')
+    assert cli.run(["schedule", "--urls-file", str(tmp_path / "u.txt"), "--no-skip-existing"], lambda _t: Service())["data"] == {"urls": ["https://a"], "skip": False}
+    assert cli.run(["schedule", "--manifest", str(tmp_path / "m.json")], lambda _t: Service())["data"] == {"urls": []}
+    with pytest.raises(SystemExit):
+        cli.run(["schedule"], lambda _t: Service())
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "urls.txt").write_text("# c\n\n https://a \nhttps://b\n")
     assert [r.source_url for r in readers.read_url_list(spark, str(tmp_path / "urls.txt")).collect()] == ["https://a", "https://b"]
