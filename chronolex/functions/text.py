@@ -29,7 +29,9 @@ def clean_text(c: Column) -> Column:
 def count_of(text: Column, word: Column | str) -> Column:
     """Non-overlapping occurrences of a non-empty substring."""
     w = F.lit(word) if isinstance(word, str) else word
-    return F.floor((F.length(text) - F.length(F.replace(text, w, F.lit("")))) / F.length(w)).cast("int")
+    counted = F.floor((F.length(text) - F.length(F.replace(text, w, F.lit("")))) / F.length(w)).cast("int")
+    # most words aren't there: a search costs a part of what a replacement does
+    return F.when(text.isNull(), F.lit(None).cast("int")).when(F.contains(text, w), counted).otherwise(F.lit(0))
 
 
 def count_all(text: Column, words: list[str]) -> Column:

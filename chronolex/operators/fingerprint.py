@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolex.functions.ontology import DEFAULT, DRAFT_NOTE, NO_THEME_NOTE, Ontology
-from chronolex.functions.text import count_all, has_any, sentences, texts
+from chronolex.functions.text import count_all, count_of, has_any, sentences, texts
 
 QUOTE_CHARS, QUOTES, HEDGES_KEPT, TONE_SENTENCES = 280, 3, 6, 20
 
@@ -80,9 +80,7 @@ def theme_assessments(documents: DataFrame, text_col: str = "normalized_text", k
     each = _once(each, "_joined", F.array_join("_pairs.low", " ")).withColumn("_matched", F.col("_pairs.said")).withColumn("matched", F.size("_pairs"))
     # No keyword reaches over the end of a sentence, so all hits of the text lie in the matched sentences;
     # each of these holds one, so two matched sentences are two hits: hits alone decide.
-    occurrences = F.aggregate(
-        "keywords", F.lit(0), lambda n, k: n + F.floor((F.length("_joined") - F.length(F.replace(F.col("_joined"), k, F.lit("")))) / F.length(k)).cast("int")
-    )
+    occurrences = F.aggregate("keywords", F.lit(0), lambda n, k: n + count_of(F.col("_joined"), k))
     each = _once(each, "hits", occurrences).filter("hits >= 2")
     few = F.col("matched") < 3
     return (
